@@ -1,0 +1 @@
+"""Detections to identity tracks to metrics, on Spark DataFrames."""
