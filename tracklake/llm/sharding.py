@@ -61,9 +61,9 @@ def with_hilbert(df: DataFrame, coordinates: str, out: str, dimensions: int, bit
     return df.withColumn(out, index).drop(x, g, t)
 
 
-def quantised(df: DataFrame, dimensions: list[str], bits: int) -> Column:
-    """array<int> of steps 0..2^bits - 1."""
-    steps, kinds, out = 1 << bits, dict(df.dtypes), []
+def cell_code(df: DataFrame, dimensions: list[str], bits: int) -> Column:
+    """The steps 0..2^bits - 1 of all dimensions, packed into one long."""
+    steps, kinds, out = 1 << bits, dict(df.dtypes), F.lit(0).cast("long")
     numbers = [d for d in dimensions if kinds[d] not in ("string", "boolean", "binary")]
     cuts: dict[str, list[float]] = {}
     if numbers:
@@ -75,23 +75,29 @@ def quantised(df: DataFrame, dimensions: list[str], bits: int) -> Column:
             at = F.lit(0)
             for c in cuts[d]:
                 at = at + F.when(F.col(d).cast("double") >= F.lit(float(c)), F.lit(1)).otherwise(F.lit(0))
-            out.append(at)
         else:
-            out.append(F.when(F.col(d).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(d)), F.lit(steps))).cast("int"))
-    return F.array(*(c.cast("int") for c in out))
+            at = F.when(F.col(d).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(d)), F.lit(steps)))
+        out = out * steps + at
+    return out
+
+
+def steps_of(code: str, dimensions: int, bits: int) -> Column:
+    """The packed steps as array<int>."""
+    low = F.lit((1 << bits) - 1)
+    return F.array(*(F.shiftright(F.col(code), bits * k).bitwiseAND(low).cast("int") for k in range(dimensions - 1, -1, -1)))
 
 
 def shard_rows(df: DataFrame, shards: int = SHARDS, dimensions: list[str] | None = None, bits: int = BITS, key: str = "doc_id") -> DataFrame:
     """Adds shard int and slot long (gapless from 0 in each shard, in curve order)."""
     dims = DIMENSIONS if dimensions is None else dimensions
     df = df.drop("shard", "slot")
-    rows = with_hilbert(df.withColumn("_at", quantised(df, dims, bits)), "_at", "_cell", len(dims), bits).drop("_at")
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    rows = df.withColumn("_cell", cell_code(df, dims, bits)).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     parts = rows.groupBy("_cell", "_part").agg(F.count("*").alias("_n"))
-    cells = parts.groupBy("_cell").agg(F.sum("_n").alias("_n"))
+    cells = parts.groupBy("_cell").agg(F.sum("_n").alias("_n")).withColumn("_at", steps_of("_cell", len(dims), bits))
+    cells = with_hilbert(cells, "_at", "_curve", len(dims), bits)
     # At most 2^(bits * dimensions) cells pass through this one task.
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = cells.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cell_at"), F.sum("_n").over(whole).alias("_total"))
     inside = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("_part_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(cells, "_cell").select(
