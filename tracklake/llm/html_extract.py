@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 DAMPING, THRESHOLD = 0.9, 0.35
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp".split())
@@ -231,6 +233,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    shared.bounded_batches(pages.sparkSession)
     tree = style_tree(pages)
     # Branches that some prior can bring below the threshold, by host: a host's tree is its own templates' size.
     known = tree.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.col("importance").cast("float")))).alias("importance"))

@@ -74,7 +74,7 @@ class Shingler:
         n = len(words)
         if not n:
             return np.empty(0, U64)
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known, h = self.known, np.empty(n, U64)
         try:
@@ -144,6 +144,7 @@ def estimate(regs: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray
 def prepare(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the word sequence, reg_a and reg_b (null where a text has no such sketch)."""
     ratio = PERCENT / 100
+    shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()

@@ -51,3 +51,13 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         out = out & left[k].eqNullSafe(right[k])
     return out
+
+
+#: Rows that a Python worker is handed at once: its memory follows this, not the table.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

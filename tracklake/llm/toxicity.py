@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 HASH_BITS, ORDERS = 20, (4, 5, 6)
 #: Training rows of each class at most; code points of a training text are all used.
 SAMPLE = 3000
@@ -61,14 +63,15 @@ class Model:
     bias: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        points = [code_points(t) for t in texts]
         out = np.full(len(texts), self.bias)
-        sizes = np.array([len(p) for p in points])
-        begin, k = 0, 0
-        while begin < len(texts):  # about a million code points at a time
-            end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 1_000_000)))
-            flat = np.concatenate(points[begin:end])
-            owner = np.repeat(np.arange(begin, min(end, len(texts)), dtype=np.int64), sizes[begin:end])
+        sizes = np.cumsum([len(t or "") for t in texts])
+        begin = 0
+        while begin < len(texts):  # about half a million code points at a time, a text at least
+            before = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + 500_000, side="right")))
+            points = [code_points(t) for t in texts[begin:end]]
+            flat = np.concatenate(points)
+            owner = np.repeat(np.arange(begin, end, dtype=np.int64), [len(p) for p in points])
             hits = []
             for at, f in grams(flat, owner):
                 hit = np.flatnonzero(self.weights[f])
@@ -76,7 +79,7 @@ class Model:
             if hits:
                 seen = np.unique(np.concatenate(hits))
                 np.add.at(out, seen >> HASH_BITS, self.weights[seen & ((1 << HASH_BITS) - 1)].astype(np.float64))
-            begin, k = end, k + 1
+            begin = end
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
@@ -161,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    shared.bounded_batches(docs.sparkSession)
     model_ref = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2^HASH_BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows predicted toxic; all columns, one pass."""
+    shared.bounded_batches(docs.sparkSession)
     model_ref = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
