@@ -117,9 +117,12 @@ def compress(least: np.ndarray) -> np.ndarray:
 
 def _collide(la: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """Chance that two unrelated buckets, holding la and lb hashes on average, agree in their compressed value."""
-    z = np.arange(33).reshape(-1, *[1] * np.broadcast(la, lb).ndim)
-    total, lo = la + lb, 2.0 ** -(z + 1.0)
-    return (lo * 2.0**-MANTISSA * la * lb / total * (np.exp(-total * lo) - np.exp(-total * 2 * lo))).sum(axis=0)
+    total, out = la + lb, np.zeros(np.broadcast(la, lb).shape)
+    each = 2.0**-MANTISSA * la * lb / total
+    for z in range(33):  # one term at a time: all 33 at once took a gigabyte for two full blocks
+        lo = 2.0 ** -(z + 1.0)
+        out += lo * each * (np.exp(-total * lo) - np.exp(-total * 2 * lo))
+    return out
 
 
 def estimate(regs: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
