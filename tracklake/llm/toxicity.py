@@ -55,6 +55,11 @@ def grams(points: np.ndarray, owner: np.ndarray | None = None) -> Iterator[tuple
             yield at, f
 
 
+def features(text: str | None) -> np.ndarray:
+    """The distinct hashed features of a text, sorted."""
+    return np.unique(np.concatenate([f for _, f in grams(code_points(text))] or [np.empty(0, np.int32)]))
+
+
 @dataclass
 class Model:
     """Weights by hashed feature (ratio included), and the intercept."""
@@ -104,16 +109,18 @@ def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
         if not 0 < share < 1:
             model.bias = -60.0 if share <= 0 else 60.0
         return model
-    rows = [np.unique(np.concatenate([f for _, f in grams(code_points(t))] or [np.empty(0, np.int32)])) for t in texts]
     times = np.zeros((2, size))
-    for r, t in zip(rows, toxic, strict=True):
-        times[t, r] += 1
+    for text, t in zip(texts, toxic, strict=True):
+        times[t, features(text)] += 1
     share_of = (times + SMOOTH) / (np.bincount(np.array(toxic), minlength=2)[:, None] + 2 * SMOOTH)
     ratio = np.log(share_of[1] / share_of[0])
     use = g_test(times, np.bincount(np.array(toxic), minlength=2)) >= MIN_G
     place = np.cumsum(use) - 1
     scale = ratio[use]
-    rows = [place[r[use[r]]] for r in rows]
+    rows = []
+    for text in texts:  # made a second time: all features of all texts at once would fill the driver
+        f = features(text)
+        rows.append(place[f[use[f]]])
     w, b = np.zeros(len(scale)), 0.0
     m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
