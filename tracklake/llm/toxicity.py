@@ -165,8 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = [known.where(F.col("toxic") > 0 if c else F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("text", "toxic", "doc_id").dropDuplicates(["doc_id"])
-    got = rows.orderBy("doc_id").collect()
-    return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got], share)
+    shared.bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            toxic += [int(t > 0) for t in b.column("toxic").to_pylist()]
+        model = fit(texts, toxic, share)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([float(model.bias)])], names=["weights", "bias"])
+
+    # The sample meets in one task, which holds its 2 * sample texts; the driver gets the model alone.
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "weights binary, bias double").collect()
+    if not fitted:  # no row, and so no task
+        return fit([], [], share)
+    return Model(np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
