@@ -22,7 +22,7 @@ Nulls: a null html has no text; a null or odd url is of the host "". Empty pages
 text. Broken markup (unclosed tags, a page cut short) is read to its end; very long pages are read whole.
 Repeated rows are each a page of the site. An empty table gives no rows. Extra columns are not
 read. A host's branches are summed in each task first, and the pages of a large host are not
-brought together: they meet its few removed branches by a join that Spark can split.
+brought together: they are salted, and each part meets a copy of the host's branches.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 DAMPING, THRESHOLD = 0.9, 0.35
+#: Parts that the pages of a host are dealt to when they meet its branches.
+SALTS = 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp".split())
 SKIPPED = RAW | frozenset("head svg math object button select option datalist canvas audio video map".split())
@@ -237,7 +239,10 @@ def extract(pages: DataFrame) -> DataFrame:
     tree = style_tree(pages)
     # Branches that some prior can bring below the threshold, by host: a host's tree is its own templates' size.
     known = tree.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.col("importance").cast("float")))).alias("importance"))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "importance")
+    # A host may have a third of all pages: they meet SALTS copies of its branches in as many places.
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), salt).join(known, ["host", "salt"], "left").select("page_id", "url", "html", "importance")
     schema = pages.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
