@@ -86,6 +86,13 @@ def test_near_dedup(spark, docs, none, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()} == want
 
 
+def test_near_copies_go_by_text_not_by_id_alone(spark):
+    first, other = (" ".join(f"{c}{i}" for i in range(200)) for c in "wz")
+    df = spark.createDataFrame([(1, first), (5, first + " end"), (5, other), (None, other + " end"), (6, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()} >= {(1, first), (5, other), (6, None)}
+    assert (5, first + " end") not in {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()}
+
+
 def test_estimate_is_close():
     dice = np.random.default_rng(1)
     for n, share in ((50, 0.9), (2000, 0.85), (2000, 0.5)):

@@ -24,7 +24,7 @@ A linked pair at 0.85 shares no band with probability (1 - 0.85^6)^42, about 2e-
 Nulls: a null or empty text, or one without words, has an empty set and is linked with
 nothing. Null doc_ids: a text that only such rows hold forms no links (component_id null, kept).
 Very long texts are processed whole. Repeated rows and equal texts share a group. Rows that
-share a doc_id but not the text are judged each by its own text. An empty table gives no rows.
+share a doc_id but not the text are judged, and dropped, each by its own text. An empty table gives no rows.
 Extra columns are not read.
 """
 
@@ -145,7 +145,7 @@ def estimate(regs: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the word sequence, reg_a and reg_b (null where a text has no such sketch)."""
+    """doc_id, text_key, n_shingles, digest of the word sequence, reg_a and reg_b (null where a text has no such sketch)."""
     ratio = PERCENT / 100
     shared.bounded_batches(docs.sparkSession)
 
@@ -162,12 +162,12 @@ def prepare(docs: DataFrame) -> DataFrame:
                 reg["a"].append(sketch(s, SEEDS["a"]).tobytes() if 0 < n < SHORT / ratio else None)
                 reg["b"].append(sketch(s, SEEDS["b"]).tobytes() if n > SHORT * ratio else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg["a"], pa.binary()), pa.array(reg["b"], pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "reg_a", "reg_b"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg["a"], pa.binary()), pa.array(reg["b"], pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "digest", "reg_a", "reg_b"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, reg_a binary, reg_b binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, digest binary, reg_a binary, reg_b binary"
     )
 
 
@@ -320,6 +320,11 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Da
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+    return _judged(docs).drop("text_key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_dedup's rows with text_key, which tells rows of one doc_id apart."""
     all_rows = shared.materialise(prepare(docs), "sketches")
     # A node is a text: copies follow it. Rows of one digest agree in all that first() takes.
     nodes = all_rows.where("digest IS NOT NULL").groupBy("digest").agg(
@@ -333,12 +338,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     groups = connected_components(verified_links(docs, nodes, clusters))
     least = nodes.join(groups, "node").groupBy("component").agg(F.min("rep").alias("least"))
     labels = nodes.select("digest", "node", "rep").join(groups.join(least, "component").select("node", "least"), "node", "left")
-    rows = all_rows.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
+    rows = all_rows.select("doc_id", "text_key", "n_shingles", "digest").join(labels, "digest", "left")
+    rows = rows.select("doc_id", "text_key", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that near_dedup drops; all columns."""
-    dropped = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_gone"], "left_anti")
+    gone = _judged(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key"))
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
