@@ -83,6 +83,20 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert key(spark.sql("SELECT * FROM tracked")) == key(batch)
 
 
+def test_tracker_queries_take_every_detection(spark):
+    det = view(spark, SF, "det").toPandas().sort_values(["frame_index", "det_ord"])
+    want = set()
+    for camera, rows in det.groupby("camera_id"):
+        t = trackers.sort_tracker()
+        for frame, found in rows.groupby("frame_index"):
+            boxes = found[["x1", "y1", "x2", "y2"]].to_numpy()
+            want |= {(camera, frame, int(found.det_ord.iloc[d]), track) for d, track in t.step(boxes)}
+    got = catalogue.queries()["sort_tracks"](spark, SF).collect()
+    assert {(r.camera_id, r.frame_index, r.det_ord, r.track_id) for r in got} == want
+    assert max(r.det_ord for r in got) > 100
+    assert max(r.det_ord for r in catalogue.queries()["deepsort_tracks"](spark, SF).collect()) > 100
+
+
 def test_truth_against_itself_is_perfect(spark):
     gt = view(spark, SF, "gt").where("gt_pos < 10")
     same = gt.selectExpr("camera_id", "frame_index", "det_ord", "x1", "y1", "x2", "y2", "CAST(det_ord AS BIGINT) AS track_id")

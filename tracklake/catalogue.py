@@ -355,16 +355,15 @@ def _frames(det):
 
 @query("det")
 def sort_tracks(det):
-    return trackers.track(det.where("det_ord < 8"), _frames(det))
+    return trackers.track(det, _frames(det))
 
 
 @query("det", "embeddings")
 def deepsort_tracks(det, embeddings):
-    few = det.where("det_ord < 8")
     number = F.pmod(F.col("class_id") * 7 + F.hash("camera_id") % 5, F.lit(10))
     looks = embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    features = few.withColumn("label", number.cast("int")).join(looks, "label").select(*KEY, "embedding")
-    return trackers.track(few, _frames(det), features)
+    features = det.withColumn("label", number.cast("int")).join(looks, "label").select(*KEY, "embedding")
+    return trackers.track(det, _frames(det), features)
 
 
 @query("gt", "pred")
