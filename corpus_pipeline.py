@@ -26,9 +26,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+#: Least Jaccard index of near copies, in hundredths; tests/llm/test_operators.py::test_pipeline holds the stage to it.
+NEAR_PERCENT = 85
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays."""
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, NEAR_PERCENT)
 
 
 #: A document enters the corpus once, so copies that went before don't come back as epochs.

@@ -93,6 +93,29 @@ def test_near_copies_go_by_text_not_by_id_alone(spark):
     assert (5, first + " end") not in {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()}
 
 
+def test_near_dedup_takes_a_threshold(spark, monkeypatch):
+    """At 80, pairs from 0.80 to 0.85 are linked, below and above SHORT, whole and cut into tasks."""
+    dice, texts, want = random.Random(9), [], {80: set(), 85: set()}
+    for k, (n, share) in enumerate(itertools.product((25, 50, 62, 70, 78, 200, 400), (0.77, 0.80, 0.82, 0.84, 0.87))):
+        base = [f"w{dice.randrange(10**6)}" for _ in range(n + 4)]  # n shingles, of which a prefix has a share
+        part = base[: int(np.ceil(n * share)) + 4]
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(part))]
+        a, b = shingles(texts[-2][1]), shingles(texts[-1][1])
+        for percent, linked in want.items():
+            if 100 * len(a & b) >= percent * len(a | b):
+                linked.add(2 * k + 1)
+    assert len(want[80] - want[85]) >= 14
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for block in (near_dedup.BLOCK, 1):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        for percent, linked in want.items():
+            got = near_dedup.near_dedup(df, percent).collect()
+            assert {r.doc_id for r in got if not r.kept} == linked
+            assert all(r.component_id == r.doc_id - (r.doc_id in linked) for r in got)
+    left = {r.doc_id for r in near_dedup.drop_near_copies(df, 80).collect()}
+    assert left == {i for i, _ in texts} - want[80]
+
+
 def test_estimate_is_close():
     dice = np.random.default_rng(1)
     for n, share in ((50, 0.9), (2000, 0.85), (2000, 0.5)):

@@ -12,14 +12,15 @@
    all candidates of a bucket are in one cluster; no bucket emits its pairs.
 4. Clusters are compared within tasks: a pair goes on if the collision-corrected estimate
    from its registers is within SIGMAS standard errors of the threshold, and is linked if
-   100 * intersection >= PERCENT * union holds on the full shingle sets. A task emits at
+   100 * intersection >= percent * union holds on the full shingle sets. A task emits at
    most an edge for each of its members (a spanning forest). Clusters beyond BLOCK texts are cut
    by size class (linked sets differ by at most the threshold in size) and within a class into
    blocks; each pair of blocks that may hold links is a task, so large clusters are done
    exactly, by many tasks.
 5. Connected components of the links give the groups.
 
-A linked pair at 0.85 shares no band with probability (1 - 0.85^6)^42, about 2e-9.
+A linked pair at 0.85 shares no band with probability (1 - 0.85^6)^42, about 2e-9; one at 0.80 with
+probability (1 - 0.80^6)^42, about 3e-6.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with
 nothing. Null doc_ids: a text that only such rows hold forms no links (component_id null, kept).
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import connected_components
 
-WORDS, PERCENT = 5, 85
+WORDS = 5
+#: Least Jaccard index of a link, in hundredths, where a caller gives none.
+PERCENT = 85
 REGISTERS, ROWS = 252, 6
 BANDS = REGISTERS // ROWS
 SHORT, SEEDS = 64, {"a": 64, "b": 8}
@@ -144,9 +147,9 @@ def estimate(regs: np.ndarray, other: np.ndarray, la: np.ndarray, lb: np.ndarray
     return np.clip((share - p) / (1 - p), 0, 1)
 
 
-def prepare(docs: DataFrame) -> DataFrame:
+def prepare(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, digest of the word sequence, reg_a and reg_b (null where a text has no such sketch)."""
-    ratio = PERCENT / 100
+    ratio = percent / 100
     shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes | None]]) -> list[tuple[int, int]]:
+def _links(ids: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes | None]], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links among the texts given."""
     n = len(ids)
     size = np.array([len(s) for s in sets], np.float64)
@@ -199,15 +202,15 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes |
         guess = estimate(table, table, load, load)
         # The error for the buckets that the smaller set can have filled.
         held = REGISTERS * (1 - np.exp(-np.minimum(load[:, None], load[None, :])))
-        limit = PERCENT / 100
+        limit = percent / 100
         error = np.sqrt(limit * (1 - limit) / np.maximum(1, np.minimum(held, np.minimum(size[at][:, None], size[at][None, :]))))
         hopeful[np.ix_(at, at)] |= guess >= limit - SIGMAS * error
     small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    hopeful &= 100 * small >= PERCENT * large
+    hopeful &= 100 * small >= percent * large
     left, right = np.nonzero(np.triu(hopeful, 1))
     if not len(left):
         return []
-    linked = _verify(sets, size, left, right)
+    linked = _verify(sets, size, left, right, percent)
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -224,8 +227,8 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes |
     return out
 
 
-def _verify(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """100 * intersection >= PERCENT * union on full sets: pair by pair, or, where the
+def _verify(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """100 * intersection >= percent * union on full sets: pair by pair, or, where the
     pairs are many, by products of 0/1 matrices over the shingles that two texts share."""
     if len(left) <= 8 * len(sets):
         both = np.array([np.intersect1d(sets[a], sets[b], assume_unique=True).size for a, b in zip(left, right, strict=True)], np.float64)
@@ -248,13 +251,13 @@ def _verify(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: n
         spot = np.full(len(sets), -1)
         spot[use] = index
         both = shared_by[spot[left], spot[right]].astype(np.float64)
-    return 100 * both >= PERCENT * (size[left] + size[right] - both)
+    return 100 * both >= percent * (size[left] + size[right] - both)
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): spanning links of each task; nodes as near_dedup makes them, clusters(node, cluster)."""
     spark = docs.sparkSession
-    step = -float(np.log(PERCENT / 100)) * (1 + 1e-9)
+    step = -float(np.log(percent / 100)) * (1 + 1e-9)
     members = nodes.join(clusters, "node").withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int"))
     members = shared.materialise(members, "members")
     # A cluster's classes are at most a few dozens (the logarithm of a text's length).
@@ -289,7 +292,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Da
 
         def done() -> None:
             if len(ids) > 1:
-                found.extend(_links(np.array(ids, np.int64), sets, regs))
+                found.extend(_links(np.array(ids, np.int64), sets, regs, percent))
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -318,14 +321,14 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Da
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
-    return _judged(docs).drop("text_key")
+    return _judged(docs, percent).drop("text_key")
 
 
-def _judged(docs: DataFrame) -> DataFrame:
+def _judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """near_dedup's rows with text_key, which tells rows of one doc_id apart."""
-    all_rows = shared.materialise(prepare(docs), "sketches")
+    all_rows = shared.materialise(prepare(docs, percent), "sketches")
     # A node is a text: copies follow it. Rows of one digest agree in all that first() takes.
     nodes = all_rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "reg_a", "reg_b"))
@@ -335,7 +338,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     edges = bands.join(buckets, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     clusters = connected_components(edges).withColumnRenamed("component", "cluster")
-    groups = connected_components(verified_links(docs, nodes, clusters))
+    groups = connected_components(verified_links(docs, nodes, clusters, percent))
     least = nodes.join(groups, "node").groupBy("component").agg(F.min("rep").alias("least"))
     labels = nodes.select("digest", "node", "rep").join(groups.join(least, "component").select("node", "least"), "node", "left")
     rows = all_rows.select("doc_id", "text_key", "n_shingles", "digest").join(labels, "digest", "left")
@@ -343,7 +346,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that near_dedup drops; all columns."""
-    gone = _judged(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key"))
+    gone = _judged(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key"))
     return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
