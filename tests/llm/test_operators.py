@@ -231,6 +231,16 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_article_in_inline_parents():
+    read = lambda page: html_extract.main_text(html_extract.parse(page), {})
+    inner = "<article><h1>T</h1><p>one <b>two</b></p></article>"
+    for page in ("<body><app-root>x<main>{}</main>y</app-root>", "<body>x<span id=top>{}</span>", "<body><b>bold{}", "<body><a href=x>{}", "<font><b>loose{}</b></font>tail"):
+        assert read(page.format(inner)) == ["T", "one two"], page
+    assert read("<body><h1>T</h1>loose<article><p>one</article>") == ["T", "one"]
+    assert read("<body><h1>Site</h1>" + inner) == ["T", "one two"]
+    assert read("<body>" + "<b>" * 30000 + inner) == ["T", "one two"]
+
+
 def test_toxicity(spark, docs, none):
     dice = random.Random(4)
     texts, marks = [], []

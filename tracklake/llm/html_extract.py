@@ -178,10 +178,6 @@ def branches(root: Node) -> Iterator[Node]:
         todo.extend(i for i in x.items if not isinstance(i, str) and i.tag not in SKIPPED)
 
 
-def has_content(root: Node) -> bool:
-    return any(declared(b) == "content" for b in branches(root))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -261,7 +257,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def main_text(root: Node, importance: dict[int, float]) -> list[str]:
     """The blocks that stay: importance is the host's, by branch; unknown branches count 1."""
-    article = has_content(root)
+    found, leads, _ = _contents(root)
+    article = bool(found)
     inside: set[int] = set()  # below a declared article
 
     def dropped(x: Node) -> bool:
@@ -276,7 +273,7 @@ def main_text(root: Node, importance: dict[int, float]) -> list[str]:
                 below.extend(i for i in y.items if not isinstance(i, str) and id(i) in inside and i.tag not in CONTAINERS)
             # An article's own header holds its title.
             return kind == "noise" and x.tag != "header"
-        if article and any(declared(y) == "content" for y in branches(x)):
+        if id(x) in leads:
             return False
         prior = NOISE_PRIOR if kind == "noise" else OUTSIDE_PRIOR if article else 1.0
         return importance.get(_signed(x.path), 1.0) * prior < THRESHOLD
@@ -285,7 +282,29 @@ def main_text(root: Node, importance: dict[int, float]) -> list[str]:
 
 
 def _without_loose_text(root: Node) -> Node:
-    """Text directly in the body of a page with a declared article is outside of it."""
-    for x in (root, *(i for i in root.items if not isinstance(i, str) and i.tag == "body")):
-        x.items = [i for i in x.items if not isinstance(i, str) and (i.tag in CONTAINERS)]
+    """Text directly in the body of a page with a declared article, or in inline elements around
+    the article, is outside of it; a heading there is the title of an article without one."""
+    _, leads, titled = _contents(root)
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        kept = [i for i in x.items if not isinstance(i, str) and (i.tag in CONTAINERS or id(i) in leads or i.tag == "h1" and not titled)]
+        todo += [i for i in kept if i.tag == "body" or i.tag not in CONTAINERS and id(i) in leads]
+        x.items = kept
     return root
+
+
+def _contents(root: Node) -> tuple[set[int], set[int], bool]:
+    """Ids of the declared content, ids of all nodes that hold some below them, and whether some holds a heading."""
+    order: list[tuple[Node, int]] = [(root, -1)]
+    for k, (x, _) in enumerate(order):  # the list grows as it is read: parents come first
+        order.extend((i, k) for i in x.items if not isinstance(i, str) and i.tag not in SKIPPED)
+    found = {id(x) for x, _ in order if x.tag in CONTAINERS and x.tag != "body" and declared(x) == "content"}
+    leads: set[int] = set()
+    for x, k in reversed(order):
+        if k >= 0 and (id(x) in found or id(x) in leads):
+            leads.add(id(order[k][0]))
+    inside: list[bool] = []
+    for x, k in order:
+        inside.append(id(x) in found or k >= 0 and inside[k])
+    return found, leads, any(i and x.tag == "h1" for (x, _), i in zip(order, inside, strict=True))
