@@ -231,6 +231,17 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_tree_decides_inside_articles(spark):
+    page = "<body><article><h1>T{0}</h1><div id=text><p>text {0}</p></div><div id=box>same box</div></article><div class=comments><article><p>me too {0}</p></article></div>"
+    copy = "<body><article><div id=text><p>a copy</p></div></article>"
+    pages = [*((k, "http://a/x", page.format(k)) for k in range(8)), *((k, "http://b/x", copy) for k in range(10, 14))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"T{k}\ntext {k}" for k in range(8)}, **{k: "a copy" for k in range(10, 14)}}
+    read = lambda page: html_extract.main_text(html_extract.parse(page), {})
+    assert read("<body><div class=related-layout><article><p>one</article></div>") == ["one"]  # nothing else is declared
+    assert read("<body><aside><main><p>one</main></aside><article><p>two</article>") == ["one", "two"]
+
+
 def test_html_article_in_inline_parents():
     read = lambda page: html_extract.main_text(html_extract.parse(page), {})
     inner = "<article><h1>T</h1><p>one <b>two</b></p></article>"

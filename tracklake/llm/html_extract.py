@@ -13,7 +13,10 @@ times a prior from what the page itself declares (article and main are the conte
 aside, forms, and containers whose class, id or role says so are not; what stands outside a
 declared article is less likely content). Branches below THRESHOLD are removed from each page. Scripts,
 styles, the head and form controls never give text. A declared article is not removed, however
-often its text occurs on the site.
+often its text occurs on the site; a branch inside it goes if its text, unlike the article's, is the
+same on the site's pages. Outside of a declared article the prior alone decides: on the test pages
+adverts and menus are as important as articles (README). An article among comments or in a list of
+related ones is not the content.
 
 Blocks are texts between block-level tags: character references are decoded, white space turns
 into one space, and blocks are joined in page order by a line feed.
@@ -65,6 +68,8 @@ NOISE_WORDS = frozenset(
     "form header login masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related remark remarks replies "
     "reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What stands under these is about another page, unless a page declares nothing else (main is the content anywhere).
+OTHERS_TAGS, OTHERS_WORDS = frozenset("nav footer aside".split()), frozenset("comment comments related remark remarks replies reply respond".split())
 NOISE_PRIOR, OUTSIDE_PRIOR = 0.25, 0.3
 
 _TOKEN = re.compile(
@@ -234,7 +239,7 @@ def extract(pages: DataFrame) -> DataFrame:
     shared.bounded_batches(pages.sparkSession)
     tree = style_tree(pages)
     # Branches that some prior can bring below the threshold, by host: a host's tree is its own templates' size.
-    known = tree.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.col("importance").cast("float")))).alias("importance"))
+    known = tree.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct(*(F.col(c).cast("float").alias(c) for c in ("importance", "content")))))).alias("importance"))
     # A host may have a third of all pages: they meet SALTS copies of its branches in as many places.
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
@@ -243,11 +248,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, last, importance = [], None, {}
+            out, last, importance, content = [], None, {}, {}
             for page, known in zip(b.column("html"), b.column("importance"), strict=True):
                 if last is None or known != last:
-                    last, importance = known, dict(known.as_py() or [])
-                out.append("\n".join(main_text(parse(page.as_py() or ""), importance)))
+                    last, pairs = known, known.as_py() or []
+                    importance, content = {k: v["importance"] for k, v in pairs}, {k: v["content"] for k, v in pairs}
+                out.append("\n".join(main_text(parse(page.as_py() or ""), importance, content)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
@@ -255,24 +261,30 @@ def extract(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def main_text(root: Node, importance: dict[int, float]) -> list[str]:
-    """The blocks that stay: importance is the host's, by branch; unknown branches count 1."""
+def main_text(root: Node, importance: dict[int, float], content: dict[int, float] | None = None) -> list[str]:
+    """The blocks that stay: importance is the host's, by branch, and so is its part by content; unknown branches count 1."""
+    content = content or {}
     found, leads, _ = _contents(root)
     article = bool(found)
-    inside: set[int] = set()  # below a declared article
+    inside: dict[int, bool] = {}  # below a declared article: whether the article's own text differs between pages
+
+    def repeated(x: Node) -> bool:
+        """Low by its text and as a whole: what pages share in form alone has texts of its own."""
+        return max(importance.get(_signed(x.path), 1.0), content.get(_signed(x.path), 1.0)) < THRESHOLD
 
     def dropped(x: Node) -> bool:
         if x.tag not in CONTAINERS or x.tag == "body":
             return False
-        kind = declared(x)
+        kind = "content" if id(x) in found else k if (k := declared(x)) != "content" else ""
         if id(x) in inside or kind == "content":
+            differs = not repeated(x) if kind == "content" else inside[id(x)]
             below = [x]
             while below:
                 y = below.pop()
-                inside.update(id(i) for i in y.items if not isinstance(i, str))
+                inside.update((id(i), differs) for i in y.items if not isinstance(i, str))
                 below.extend(i for i in y.items if not isinstance(i, str) and id(i) in inside and i.tag not in CONTAINERS)
             # An article's own header holds its title.
-            return kind == "noise" and x.tag != "header"
+            return kind == "noise" and x.tag != "header" or kind != "content" and differs and repeated(x)
         if id(x) in leads:
             return False
         prior = NOISE_PRIOR if kind == "noise" else OUTSIDE_PRIOR if article else 1.0
@@ -299,7 +311,12 @@ def _contents(root: Node) -> tuple[set[int], set[int], bool]:
     order: list[tuple[Node, int]] = [(root, -1)]
     for k, (x, _) in enumerate(order):  # the list grows as it is read: parents come first
         order.extend((i, k) for i in x.items if not isinstance(i, str) and i.tag not in SKIPPED)
-    found = {id(x) for x, _ in order if x.tag in CONTAINERS and x.tag != "body" and declared(x) == "content"}
+    under: list[bool] = []
+    for x, k in order:
+        others = x.tag in OTHERS_TAGS or bool(x.words & OTHERS_WORDS) and x.tag != "body"
+        under.append(k >= 0 and (under[k] or others and declared(x) != "content"))
+    content = [(x, u) for (x, _), u in zip(order, under, strict=True) if x.tag in CONTAINERS and x.tag != "body" and declared(x) == "content"]
+    found = {id(x) for x, u in content if not u or x.tag == "main" or "role=main" in x.label} or {id(x) for x, _ in content}
     leads: set[int] = set()
     for x, k in reversed(order):
         if k >= 0 and (id(x) in found or id(x) in leads):
