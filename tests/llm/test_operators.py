@@ -242,6 +242,14 @@ def test_html_tree_decides_inside_articles(spark):
     assert read("<body><aside><main><p>one</main></aside><article><p>two</article>") == ["one", "two"]
 
 
+def test_html_page_ids_do_not_split_branches(spark):
+    soup = "<body class='postid-{0}'><div id='post-{0}'><div id=top>same bar</div><div id=text-{1}><p>text {0}</p></div></div></body>"
+    pages = [(k, "http://s/x", soup.format(k, f"{k * 7919:x}")) for k in range(100, 108)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {k: f"text {k}" for k in range(100, 108)}
+    assert {r.pages for r in html_extract.style_tree(df).collect()} == {8}
+
+
 def test_html_article_in_inline_parents():
     read = lambda page: html_extract.main_text(html_extract.parse(page), {})
     inner = "<article><h1>T</h1><p>one <b>two</b></p></article>"

@@ -1,7 +1,7 @@
 """HTML extraction by a site style tree.
 
 All pages of a host are merged into one tree of branches (containers by tag, classes, id
-and role along their path). A branch has
+and role along their path below the body, numbers and hashes in these being one). A branch has
 
 * presentation importance: 1 if one page has it, else the entropy (base: its pages) of the
   sequences of child tags it shows on its pages;
@@ -78,6 +78,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Numbers and hashes in ids and classes, which tell one page's element from another's.
+_NUMBER = re.compile(r"[0-9a-f]*[0-9][0-9a-f]*")
 
 
 class Node:
@@ -125,9 +127,9 @@ def parse(text: str) -> Node:
         if tag in CONTAINERS and (attributes := m[3] or m[6]):
             names = sorted({f"{a.lower()}={w}" for a, *v in _ATTRIBUTE.findall(attributes) for w in "".join(v).lower().split()})
             if names:
-                label = tag + "." + ".".join(names)
+                label = tag + "." + ".".join(sorted({_NUMBER.sub("0", n) for n in names}))
                 words = frozenset(w for n in names for w in _WORD.findall(n.partition("=")[2]))
-        node = Node(tag, label, words, xxhash.xxh3_64_intdigest(label, seed=stack[-1].path & 0xFFFFFFFF) if tag in CONTAINERS else stack[-1].path)
+        node = Node(tag, label, words, xxhash.xxh3_64_intdigest(label, seed=stack[-1].path & 0xFFFFFFFF) if tag in CONTAINERS and tag != "body" else stack[-1].path)
         stack[-1].items.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -238,8 +240,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     shared.bounded_batches(pages.sparkSession)
     tree = style_tree(pages)
-    # Branches that some prior can bring below the threshold, by host: a host's tree is its own templates' size.
-    known = tree.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct(*(F.col(c).cast("float").alias(c) for c in ("importance", "content")))))).alias("importance"))
+    # A branch of one page counts 1, as unknown ones do: without these, a host's map doesn't grow with its pages' own ids.
+    known = tree.where("pages > 1").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct(*(F.col(c).cast("float").alias(c) for c in ("importance", "content")))))).alias("importance"))
     # A host may have a third of all pages: they meet SALTS copies of its branches in as many places.
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
