@@ -1,6 +1,7 @@
 """Edge cases and brute force on small fixtures."""
 
 import itertools
+import math
 import random
 import zlib
 
@@ -116,6 +117,11 @@ def test_near_dedup_takes_a_threshold(spark, monkeypatch):
     assert left == {i for i, _ in texts} - want[80]
 
 
+def test_estimate_gate_misses_less_than_the_bands():
+    gate = math.erfc(near_dedup.SIGMAS / math.sqrt(2)) / 2
+    assert gate < (1 - (near_dedup.PERCENT / 100) ** near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_estimate_is_close():
     dice = np.random.default_rng(1)
     for n, share in ((50, 0.9), (2000, 0.85), (2000, 0.5)):

@@ -20,7 +20,8 @@
 5. Connected components of the links give the groups.
 
 A linked pair at 0.85 shares no band with probability (1 - 0.85^6)^42, about 2e-9; one at 0.80 with
-probability (1 - 0.80^6)^42, about 3e-6.
+probability (1 - 0.80^6)^42, about 3e-6. The gate of step 4 loses another 1e-9 of the pairs at the
+threshold (a normal tail beyond SIGMAS), so about 3e-9 in all at 0.85.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with
 nothing. Null doc_ids: a text that only such rows hold forms no links (component_id null, kept).
@@ -50,7 +51,7 @@ REGISTERS, ROWS = 252, 6
 BANDS = REGISTERS // ROWS
 SHORT, SEEDS = 64, {"a": 64, "b": 8}
 MANTISSA, EMPTY = 10, 0xFFFF
-SIGMAS = 5.0
+SIGMAS = 6.0
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 U64 = np.uint64
