@@ -1,31 +1,36 @@
 """HTML extraction by a site style tree.
 
 All pages of a host are merged into one tree of branches (containers by tag, classes, id
-and role along their path below the body, numbers and hashes in these being one). A branch has
-
-* presentation importance: 1 if one page has it, else the entropy (base: its pages) of the
-  sequences of child tags it shows on its pages;
-* content importance: 1 less the mean entropy of its text blocks, where a block that
-  m of the branch's n pages hold has the entropy log m / log n;
-* composite importance: (1 - D^l) presentation + D^l content for l different presentations,
-
-times a prior from what the page itself declares (article and main are the content; nav, footer,
-aside, forms, and containers whose class, id or role says so are not; what stands outside a
-declared article is less likely content). Branches below THRESHOLD are removed from each page. Scripts,
-styles, the head and form controls never give text. A declared article is not removed, however
-often its text occurs on the site; a branch inside it goes if its text, unlike the article's, is the
-same on the site's pages. Outside of a declared article the prior alone decides: on the test pages
-adverts and menus are as important as articles (README). An article among comments or in a list of
-related ones is not the content.
+and role along their path below the body, numbers and hashes in these being one), and so are the
+pages of all hosts, for what a small host can't tell by itself. A branch has
+
+* presentation importance: the entropy (base: its pages) of the sequences of child tags it shows;
+* content importance: 1 less the mean entropy of its features, where a feature that m of the
+  branch's n pages hold has the entropy log m / log n. Features are the branch's own text blocks
+  (not those of branches below it), parted at marks that join bits of boilerplate in a line;
+* composite importance: (1 - D^l) presentation + D^l content for l different presentations.
+
+A small sample overstates importance, so a branch counts as little as the host's tree or the tree
+of all hosts makes it. Branches of less than MIN_PAGES pages count 1. On a page, a branch's own text
+goes if its importance, as a share of the page's most important text, is below THRESHOLD. Declarations
+(article and main; nav, footer, aside, forms, and containers whose class, id or role says so) weigh the
+share by a prior, which decides between branches about as important as the content: readers'
+comments differ from page to page as articles do. On a host whose declared articles are copies
+of each other, the tree of all hosts judges them. Scripts, styles, the head and form controls never give text.
+An article among comments or in a list of related ones is not the content.
 
 Blocks are texts between block-level tags: character references are decoded, white space turns
 into one space, and blocks are joined in page order by a line feed.
 
 Nulls: a null html has no text; a null or odd url is of the host "". Empty pages give the empty
-text. Broken markup (unclosed tags, a page cut short) is read to its end; very long pages are read whole.
-Repeated rows are each a page of the site. An empty table gives no rows. Extra columns are not
-read. A host's branches are summed in each task first, and the pages of a large host are not
-brought together: they are salted, and each part meets a copy of the host's branches.
+text. Broken markup (unclosed tags, a page cut short) is read to its end; very long and very deep pages
+are read whole, in time linear in their length. Repeated rows are each a page of the site. An empty table
+gives no rows. Extra columns are not read.
+
+Features are summed in each batch and task before they are sent. Only branches below KNOWN go to
+the pages: as a broadcast, if they are at most BRANCH_LIMIT (counted), else in one stream with the
+pages of their host, sorted so that a host's branches come first; a host with more than a
+partition's share of pages is dealt to all partitions.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import html as htmllib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -42,9 +48,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-DAMPING, THRESHOLD = 0.9, 0.35
-#: Parts that the pages of a host are dealt to when they meet its branches.
-SALTS = 16
+DAMPING, THRESHOLD = 0.98, 0.8
+#: Pages a branch needs before its entropies count; importance from which a branch needs no mention.
+MIN_PAGES, KNOWN = 8, 0.95
+#: Branches below KNOWN that may be broadcast (some 3 MB).
+BRANCH_LIMIT = 50_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp".split())
 SKIPPED = RAW | frozenset("head svg math object button select option datalist canvas audio video map".split())
@@ -70,7 +78,8 @@ NOISE_WORDS = frozenset(
 )
 #: What stands under these is about another page, unless a page declares nothing else (main is the content anywhere).
 OTHERS_TAGS, OTHERS_WORDS = frozenset("nav footer aside".split()), frozenset("comment comments related remark remarks replies reply respond".split())
-NOISE_PRIOR, OUTSIDE_PRIOR = 0.25, 0.3
+#: Weights of declarations: within declared content, in declared noise or outside of declared content, otherwise.
+CONTENT_PRIOR, NOISE_PRIOR, PLAIN_PRIOR = 1.25, 0.75, 1.0
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""",
@@ -78,6 +87,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Marks between the bits of a line of boilerplate.
+_JOINT = re.compile(r"\s*[·•|»«–—©]\s*")
 #: Numbers and hashes in ids and classes, which tell one page's element from another's.
 _NUMBER = re.compile(r"[0-9a-f]*[0-9][0-9a-f]*")
 
@@ -90,49 +101,67 @@ class Node:
         self.items: list[Node | str] = []
 
 
+class _Open:
+    """The open elements. The places of each tag are kept, so that no step walks the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.containers = [root], {root.tag: [0]}, [0]
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in CONTAINERS:
+            self.containers.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in CONTAINERS:
+                self.containers.pop()
+
+
 def parse(text: str) -> Node:
     """The tree of a page; text items are raw (references not yet decoded)."""
     root = Node("html", "html", frozenset(), 0)
-    stack, at = [root], 0
+    stack, at = _Open(root), 0
     while m := _TOKEN.match(text, at):
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             if text[m.start()] != "<" or at - m.start() == 1:
-                stack[-1].items.append(m[0])
+                stack.nodes[-1].items.append(m[0])
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in CONTAINERS and tag not in CONTAINERS and tag not in ("body", "html", "table"):
-                    break
+            place = stack.last((tag,))
+            # An inline end tag does not close a container.
+            if place and (tag in CONTAINERS or tag in ("body", "html", "table") or place > stack.containers[-1]):
+                stack.close(place)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and stack.places.get(tag):
             continue
         if rule := CLOSES.get(tag):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in rule[0]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in rule[1] or stack[k].tag in CONTAINERS:
-                    break
-        words, label = frozenset(), tag
+            place = stack.last(rule[0])
+            if place > max(stack.last(rule[1]), stack.containers[-1]):
+                stack.close(place)
+        parent, words, label = stack.nodes[-1], frozenset(), tag
         if tag in CONTAINERS and (attributes := m[3] or m[6]):
             names = sorted({f"{a.lower()}={w}" for a, *v in _ATTRIBUTE.findall(attributes) for w in "".join(v).lower().split()})
             if names:
                 label = tag + "." + ".".join(sorted({_NUMBER.sub("0", n) for n in names}))
                 words = frozenset(w for n in names for w in _WORD.findall(n.partition("=")[2]))
-        node = Node(tag, label, words, xxhash.xxh3_64_intdigest(label, seed=stack[-1].path & 0xFFFFFFFF) if tag in CONTAINERS and tag != "body" else stack[-1].path)
-        stack[-1].items.append(node)
+        node = Node(tag, label, words, xxhash.xxh3_64_intdigest(label, seed=parent.path & 0xFFFFFFFF) if tag in CONTAINERS and tag != "body" else parent.path)
+        parent.items.append(node)
         if tag not in VOID:
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -145,44 +174,51 @@ def declared(node: Node) -> str:
     return "content" if node.words & CONTENT_WORDS and node.tag != "body" else ""
 
 
-def texts(node: Node, dropped=lambda node: False) -> list[str]:
-    """Blocks below a node, in page order."""
-    out: list[str] = []
-    now: list[str] = []
+@dataclass
+class Page:
+    """A page in one walk: its containers in page order, each with its parent's place, and its
+    blocks as (place of the nearest container, text, whether it is in an h1 heading)."""
+
+    containers: list[tuple[Node, int]] = field(default_factory=list)
+    blocks: list[tuple[int, str, bool]] = field(default_factory=list)
+
+
+def read(root: Node) -> Page:
+    page, now = Page([(root, -1)]), []
+    headings, at = 0, 0
 
     def close() -> None:
         if now and (t := " ".join(htmllib.unescape("".join(now)).split())):
-            out.append(t)
+            page.blocks.append((at, t, headings > 0))
         now.clear()
 
-    todo: list = [node]
+    todo: list = list(reversed(root.items))
     while todo:
         x = todo.pop()
-        if x is None:
-            close()
-        elif isinstance(x, str):
+        if isinstance(x, str):
             now.append(x)
+        elif isinstance(x, tuple):  # the end of a block element
+            close()
+            at, headings = x
         elif x.tag == "br":
             now.append(" ")
-        elif x.tag not in SKIPPED and not dropped(x):
-            block = x.tag in BLOCKS
-            if block:
+        elif x.tag in SKIPPED:
+            continue
+        else:
+            if x.tag in BLOCKS:
                 close()
-                todo.append(None)
+                todo.append((at, headings))
+                if x.tag in CONTAINERS:
+                    page.containers.append((x, at))
+                    at = len(page.containers) - 1
+                headings += x.tag == "h1"
             todo.extend(reversed(x.items))
-        elif x.tag in BLOCKS:
-            close()
     close()
-    return out
+    return page
 
 
-def branches(root: Node) -> Iterator[Node]:
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if x.tag in CONTAINERS and x.tag != "body":
-            yield x
-        todo.extend(i for i in x.items if not isinstance(i, str) and i.tag not in SKIPPED)
+def features(text: str) -> list[str]:
+    return [t for t in _JOINT.split(text) if t]
 
 
 def _signed(x: int) -> int:
@@ -194,18 +230,21 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, branch, pages, presentations, presentation, content, importance (prior not yet in it)."""
+    """host, branch, pages, presentations, presentation, content, importance; a null host stands for all hosts."""
+    shared.bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
-            for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                for x in branches(parse(page.as_py() or "")):
-                    tags = [i.tag for i in x.items if not isinstance(i, str)]
-                    style = xxhash.xxh3_64_intdigest(" ".join(t for k, t in enumerate(tags) if t in BLOCKS and tags[k - 1 : k] != [t] or k == 0))
-                    seen[host, x.path, 0, style] += 1
-                    for t in set(texts(x)):
-                        seen[host, x.path, 1, xxhash.xxh3_64_intdigest(t)] += 1
+            for host, html in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+                page = read(parse(html.as_py() or ""))
+                held = {(page.containers[at][0].path, 1, xxhash.xxh3_64_intdigest(f)) for at, t, _ in page.blocks for f in features(t)}
+                styles: dict[int, list[str]] = {}
+                for x, _ in page.containers:
+                    tags = [i.tag for i in x.items if not isinstance(i, str) and i.tag in BLOCKS]
+                    styles.setdefault(x.path, []).append(" ".join(t for k, t in enumerate(tags) if not k or tags[k - 1] != t))
+                held.update((path, 0, xxhash.xxh3_64_intdigest("/".join(s))) for path, s in styles.items())
+                seen.update((host, *h) for h in held)
             rows = list(seen.items())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -217,113 +256,155 @@ def style_tree(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, branch long, kind long, feature long, n long")
-    features = rows.groupBy("host", "branch", "kind", "feature").agg(F.sum("n").alias("n"))
-    # Sums that give the entropies: each kind's own count, sum of n and sum of n log n.
-    parts = features.groupBy("host", "branch").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
-        F.sum(F.when(F.col("kind") == 0, F.lit(1))).alias("presentations"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("s"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("blocks"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("c"),
+    own = rows.groupBy("host", "branch", "kind", "feature").agg(F.sum("n").alias("n"))
+    every = own.groupBy("branch", "kind", "feature").agg(F.sum("n").alias("n"))
+    return _importance(own, ["host", "branch"]).unionByName(_importance(every, ["branch"]).withColumn("host", F.lit(None).cast("string")))
+
+
+def _importance(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The entropies from the pages n that show each presentation (kind 0) or hold each feature (kind 1)."""
+    style, text = F.col("kind") == 0, F.col("kind") == 1
+    parts = counts.groupBy(*keys).agg(
+        F.sum(F.when(style, F.col("n"))).alias("pages"),
+        F.sum(F.when(style, F.lit(1))).alias("presentations"),
+        F.sum(F.when(style, F.col("n") * F.log("n"))).alias("_s"),
+        F.avg(F.when(text, F.log("n"))).alias("_c"),
     )
-    log_m = F.log(F.col("pages").cast("double"))
-    presentation = F.when(F.col("pages") <= 1, F.lit(1.0)).otherwise((log_m - F.col("s") / F.col("pages")) / log_m)
-    content = F.when((F.col("pages") <= 1) | F.col("blocks").isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("c") / F.col("blocks") / log_m))
-    weight = F.pow(F.lit(DAMPING), F.col("presentations"))
-    parts = parts.withColumns({"presentation": presentation, "content": content})
-    return parts.select(
-        "host", "branch", "pages", "presentations", "presentation", "content", ((1 - weight) * F.col("presentation") + weight * F.col("content")).alias("importance")
+    log_pages = F.log(F.col("pages").cast("double"))
+    alone = F.col("pages") <= 1
+    parts = parts.withColumns(
+        {
+            "presentation": F.when(alone, F.lit(1.0)).otherwise((log_pages - F.col("_s") / F.col("pages")) / log_pages),
+            "content": F.when(alone | F.col("_c").isNull(), F.lit(1.0)).otherwise(1 - F.col("_c") / log_pages),
+        }
     )
+    weight = F.pow(F.lit(DAMPING), F.col("presentations"))
+    importance = (1 - weight) * F.col("presentation") + weight * F.col("content")
+    return parts.select(*keys, "pages", "presentations", "presentation", "content", importance.alias("importance"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, branch_limit: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    shared.bounded_batches(pages.sparkSession)
-    tree = style_tree(pages)
-    # A branch of one page counts 1, as unknown ones do: without these, a host's map doesn't grow with its pages' own ids.
-    known = tree.where("pages > 1").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct(*(F.col(c).cast("float").alias(c) for c in ("importance", "content")))))).alias("importance"))
-    # A host may have a third of all pages: they meet SALTS copies of its branches in as many places.
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), salt).join(known, ["host", "salt"], "left").select("page_id", "url", "html", "importance")
-    schema = pages.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    limit = BRANCH_LIMIT if branch_limit is None else branch_limit
+    tree = shared.materialise(style_tree(pages), "branches")
+    low = tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < KNOWN)).select("host", "branch", "importance")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    found = low.limit(limit + 1).collect()
+    if len(found) <= limit:
+        return _with_broadcast(rows, found)
+    return _with_stream(rows, tree, low)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, last, importance, content = [], None, {}, {}
-            for page, known in zip(b.column("html"), b.column("importance"), strict=True):
-                if last is None or known != last:
-                    last, pairs = known, known.as_py() or []
-                    importance, content = {k: v["importance"] for k, v in pairs}, {k: v["content"] for k, v in pairs}
-                out.append("\n".join(main_text(parse(page.as_py() or ""), importance, content)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-            )
 
-    return rows.mapInArrow(run, schema)
-
-
-def main_text(root: Node, importance: dict[int, float], content: dict[int, float] | None = None) -> list[str]:
-    """The blocks that stay: importance is the host's, by branch, and so is its part by content; unknown branches count 1."""
-    content = content or {}
-    found, leads, _ = _contents(root)
-    article = bool(found)
-    inside: dict[int, bool] = {}  # below a declared article: whether the article's own text differs between pages
-
-    def repeated(x: Node) -> bool:
-        """Low by its text and as a whole: what pages share in form alone has texts of its own."""
-        return max(importance.get(_signed(x.path), 1.0), content.get(_signed(x.path), 1.0)) < THRESHOLD
-
-    def dropped(x: Node) -> bool:
-        if x.tag not in CONTAINERS or x.tag == "body":
-            return False
-        kind = "content" if id(x) in found else k if (k := declared(x)) != "content" else ""
-        if id(x) in inside or kind == "content":
-            differs = not repeated(x) if kind == "content" else inside[id(x)]
-            below = [x]
-            while below:
-                y = below.pop()
-                inside.update((id(i), differs) for i in y.items if not isinstance(i, str))
-                below.extend(i for i in y.items if not isinstance(i, str) and id(i) in inside and i.tag not in CONTAINERS)
-            # An article's own header holds its title.
-            return kind == "noise" and x.tag != "header" or kind != "content" and differs and repeated(x)
-        if id(x) in leads:
-            return False
-        prior = NOISE_PRIOR if kind == "noise" else OUTSIDE_PRIOR if article else 1.0
-        return importance.get(_signed(x.path), 1.0) * prior < THRESHOLD
-
-    return texts(root, dropped) if not article else texts(_without_loose_text(root), dropped)
-
-
-def _without_loose_text(root: Node) -> Node:
-    """Text directly in the body of a page with a declared article, or in inline elements around
-    the article, is outside of it; a heading there is the title of an article without one."""
-    _, leads, titled = _contents(root)
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        kept = [i for i in x.items if not isinstance(i, str) and (i.tag in CONTAINERS or id(i) in leads or i.tag == "h1" and not titled)]
-        todo += [i for i in kept if i.tag == "body" or i.tag not in CONTAINERS and id(i) in leads]
-        x.items = kept
-    return root
+def _schema(rows: DataFrame):
+    return rows.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
 
-def _contents(root: Node) -> tuple[set[int], set[int], bool]:
-    """Ids of the declared content, ids of all nodes that hold some below them, and whether some holds a heading."""
-    order: list[tuple[Node, int]] = [(root, -1)]
-    for k, (x, _) in enumerate(order):  # the list grows as it is read: parents come first
-        order.extend((i, k) for i in x.items if not isinstance(i, str) and i.tag not in SKIPPED)
+def _texts(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
+    )
+
+
+def _with_broadcast(rows: DataFrame, found: list) -> DataFrame:
+    known: dict[str | None, dict[int, float]] = {}
+    for r in found:
+        known.setdefault(r["host"], {})[r["branch"]] = r["importance"]
+    held = rows.sparkSession.sparkContext.broadcast(known)  # BRANCH_LIMIT entries at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = held.value.get(None, {})
+        for b in batches:
+            out = []
+            for host, html in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+                out.append("\n".join(main_text(parse(html.as_py() or ""), held.value.get(host, {}), every)))
+            yield _texts(b, out)
+
+    return rows.mapInArrow(run, _schema(rows))
+
+
+def _with_stream(rows: DataFrame, tree: DataFrame, low: DataFrame) -> DataFrame:
+    """Branches and pages of a host in one sorted stream: branches first, and only one host's are held."""
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    every = low.where("host IS NULL").select(F.col("branch").alias("_b"), F.col("importance").alias("every"))
+    own = low.where("host IS NOT NULL").select(F.col("host").alias("_h"), F.col("branch").alias("_o"), F.col("importance").alias("own"))
+    hosts = tree.where("host IS NOT NULL").select("host", "branch")
+    known = hosts.join(every, F.col("branch") == F.col("_b"), "left").join(own, (F.col("host") == F.col("_h")) & (F.col("branch") == F.col("_o")), "left")
+    known = known.where("every IS NOT NULL OR own IS NOT NULL").select("host", "branch", "own", "every")
+    counts = shared.materialise(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Hosts with more than a partition's share: fewer than there are partitions.
+    large = counts.where(F.col("n") * parts > total).select("host").withColumn("large", F.lit(True))
+    salt = F.when(F.col("large"), F.pmod(F.xxhash64("page_id", "url"), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+    salted = rows.join(F.broadcast(large), "host", "left").select("host", salt.alias("salt"), F.lit(1).alias("kind"), "page_id", "url", "html")
+    salts = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    marks = known.join(F.broadcast(large), "host", "left").select("host", F.explode(salts).alias("salt"), F.lit(0).alias("kind"), "branch", "own", "every")
+    both = salted.unionByName(marks, allowMissingColumns=True).repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, every = None, {}, {}
+        for b in batches:
+            out, at = [], []
+            columns = [b.column(c).to_pylist() for c in ("host", "kind", "branch", "own", "every")]
+            for k, (host, kind, branch, o, e) in enumerate(zip(*columns, strict=True)):
+                if host != now:
+                    now, own, every = host, {}, {}
+                if kind:
+                    out.append("\n".join(main_text(parse(b.column("html")[k].as_py() or ""), own, every)))
+                    at.append(k)
+                else:
+                    own |= {branch: o} if o is not None else {}
+                    every |= {branch: e} if e is not None else {}
+            if at:
+                yield _texts(b.take(pa.array(at)), out)
+
+    return both.mapInArrow(run, _schema(rows))
+
+
+def main_text(root: Node, own: dict[int, float], every: dict[int, float] | None = None) -> list[str]:
+    """The blocks that stay: importances of branches in the host's tree and in that of all hosts; others count 1."""
+    page = read(root)
+    every = own if every is None else every
+    found, leads = _contents(page)
+    context: list[str] = []
+    for k, (x, up) in enumerate(page.containers):
+        above = context[up] if up >= 0 else "outside" if found else "plain"
+        if k in found:
+            context.append("content")
+        elif k in leads:
+            context.append("outside")
+        elif declared(x) == "noise" and not (x.tag == "header" and above == "content"):
+            context.append("noise")  # an article's own header holds its title
+        else:
+            context.append(above)
+    with_text = {at for at, _, _ in page.blocks}
+    sides = {k: [t.get(_signed(page.containers[k][0].path), 1.0) for t in (own, every)] for k in with_text}
+    value = {k: min(v) for k, v in sides.items()}
+    inside = [k for k in with_text if context[k] == "content"]
+    if max((value[k] for k in inside), default=1.0) < THRESHOLD:  # all its text is repeated: other hosts tell
+        value |= {k: max(sides[k]) for k in inside}
+    top = max(value.values(), default=0.0)
+    prior = {"content": CONTENT_PRIOR, "noise": NOISE_PRIOR, "outside": NOISE_PRIOR, "plain": PLAIN_PRIOR}
+    stays = {k: (v / top if top > 0 else 1.0) * prior[context[k]] >= THRESHOLD for k, v in value.items()}
+    titled = any(h and context[at] == "content" for at, _, h in page.blocks)
+    # A heading around an article without one is its title.
+    title = set() if titled or not found else {at for at in with_text if at in leads or page.containers[at][0].tag in ("html", "body")}
+    return [t for at, t, h in page.blocks if stays[at] or h and at in title]
+
+
+def _contents(page: Page) -> tuple[set[int], set[int]]:
+    """Places of the declared content, and of the containers around it."""
     under: list[bool] = []
-    for x, k in order:
+    content: list[int] = []
+    for k, (x, up) in enumerate(page.containers):
         others = x.tag in OTHERS_TAGS or bool(x.words & OTHERS_WORDS) and x.tag != "body"
-        under.append(k >= 0 and (under[k] or others and declared(x) != "content"))
-    content = [(x, u) for (x, _), u in zip(order, under, strict=True) if x.tag in CONTAINERS and x.tag != "body" and declared(x) == "content"]
-    found = {id(x) for x, u in content if not u or x.tag == "main" or "role=main" in x.label} or {id(x) for x, _ in content}
-    leads: set[int] = set()
-    for x, k in reversed(order):
-        if k >= 0 and (id(x) in found or id(x) in leads):
-            leads.add(id(order[k][0]))
-    inside: list[bool] = []
-    for x, k in order:
-        inside.append(id(x) in found or k >= 0 and inside[k])
-    return found, leads, any(i and x.tag == "h1" for (x, _), i in zip(order, inside, strict=True))
+        kind = declared(x) if k and x.tag != "body" else ""
+        under.append(up >= 0 and (under[up] or others and kind != "content"))
+        if kind == "content":
+            content.append(k)
+    own = {k for k in content if not under[k] or page.containers[k][0].tag == "main" or "role=main" in page.containers[k][0].label}
+    found, leads = own or set(content), set()
+    for k in range(len(page.containers) - 1, 0, -1):
+        if k in found or k in leads:
+            leads.add(page.containers[k][1])
+    return found, leads - found
