@@ -10,22 +10,29 @@
 3. BANDS runs of ROWS compressed registers are hashed; representatives that agree in a
    band are candidates. A bucket gives an edge from each member to its least member, so
    all candidates of a bucket are in one cluster; no bucket emits its pairs.
-4. Clusters are compared within tasks: a pair goes on if the collision-corrected estimate
-   from its registers is within SIGMAS standard errors of the threshold, and is linked if
+4. Each text is compared with one hub, that with which it shares the most bands. Texts that are linked
+   this way are one component already, and pairs within a component need no look: what is left
+   are pairs of texts of one cluster and of different components.
+5. Clusters with several components are compared within tasks: a pair goes on if the collision-corrected
+   estimate from its registers is within SIGMAS standard errors of the threshold, and is linked if
    100 * intersection >= percent * union holds on the full shingle sets. A task emits at
    most an edge for each of its members (a spanning forest). Clusters beyond BLOCK texts are cut
    by size class (linked sets differ by at most the threshold in size) and within a class into
-   blocks; each pair of blocks that may hold links is a task, so large clusters are done
-   exactly, by many tasks.
-5. Connected components of the links give the groups.
+   blocks, those of the cluster's largest component apart from the rest; each pair of blocks that may
+   hold links is a task, and no pair of blocks of the largest component is one.
+6. Connected components of the links of steps 4 and 5 give the groups.
+
+What step 5 costs follows the texts outside of a cluster's largest component: a family of n texts
+that resemble each other, none enough for a link, takes n * n / BLOCK copies of a text.
 
 A linked pair at 0.85 shares no band with probability (1 - 0.85^6)^42, about 2e-9; one at 0.80 with
-probability (1 - 0.80^6)^42, about 3e-6. The gate of step 4 loses another 1e-9 of the pairs at the
+probability (1 - 0.80^6)^42, about 3e-6. The gate of step 5 loses another 1e-9 of the pairs at the
 threshold (a normal tail beyond SIGMAS), so about 3e-9 in all at 0.85.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with
-nothing. Null doc_ids: a text that only such rows hold forms no links (component_id null, kept).
-Very long texts are processed whole. Repeated rows and equal texts share a group. Rows that
+nothing. Null doc_ids: their texts are linked as others are; a group without any id has the
+component_id null, and drop_near_copies keeps one text of it. Very long texts are processed whole. Repeated
+rows and equal texts share a group; rows equal in id and text stay or go together. Rows that
 share a doc_id but not the text are judged, and dropped, each by its own text. An empty table gives no rows.
 Extra columns are not read.
 """
@@ -43,6 +50,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import connected_components
+from .shared import meet
 
 WORDS = 5
 #: Least Jaccard index of a link, in hundredths, where a caller gives none.
@@ -163,8 +171,8 @@ def prepare(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 n = len(s)
                 size.append(n)
                 digest.append(hashlib.sha256(b" ".join(words)).digest() if n else None)
-                reg["a"].append(sketch(s, SEEDS["a"]).tobytes() if 0 < n < SHORT / ratio else None)
-                reg["b"].append(sketch(s, SEEDS["b"]).tobytes() if n > SHORT * ratio else None)
+                reg["a"].append(sketch(s, SEEDS["a"]).tobytes() if 0 < n <= SHORT / ratio else None)
+                reg["b"].append(sketch(s, SEEDS["b"]).tobytes() if n >= SHORT * ratio else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg["a"], pa.binary()), pa.array(reg["b"], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "digest", "reg_a", "reg_b"],
@@ -189,9 +197,11 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes | None]], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the texts given."""
+def _links(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes | None]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the texts given that join different groups."""
     n = len(ids)
+    if len(np.unique(groups)) < 2:
+        return []
     size = np.array([len(s) for s in sets], np.float64)
     hopeful = np.zeros((n, n), bool)
     for name, seeds in SEEDS.items():
@@ -208,6 +218,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], regs: dict[str, list[bytes |
         hopeful[np.ix_(at, at)] |= guess >= limit - SIGMAS * error
     small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
     hopeful &= 100 * small >= percent * large
+    hopeful &= groups[:, None] != groups[None, :]
     left, right = np.nonzero(np.triu(hopeful, 1))
     if not len(left):
         return []
@@ -255,45 +266,95 @@ def _verify(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: n
     return 100 * both >= percent * (size[left] + size[right] - both)
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v): spanning links of each task; nodes as near_dedup makes them, clusters(node, cluster)."""
-    spark = docs.sparkSession
+def hub_links(texts: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v): of each node and the hub it shares the most bands with, those that are linked; texts(node, text),
+    edges(u, v) from a node to a hub. Rows go by hub, hubs first; a large hub's nodes are dealt to several tasks."""
+    spark = texts.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    best = edges.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("u").agg(F.max(F.struct("n", (-F.col("v")).alias("m"), "v")).alias("b"))
+    best = shared.materialise(best.select(F.col("u").alias("node"), F.col("b.v").alias("hub")), "best")
+    # A hub is dealt to as many tasks as it has partitions' shares of the nodes: at most `parts` more rows than hubs.
+    hubs = best.groupBy("hub").agg(F.ceil(F.count("*") * F.lit(parts) / F.lit(max(1, best.count()))).cast("int").alias("salts"))
+    hubs = shared.materialise(hubs, "hubs")
+    large = F.broadcast(hubs.where("salts > 1"))  # fewer than `parts`
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0)).cast("int")
+    members = best.join(large, "hub", "left").select("hub", salt.alias("salt"), F.lit(1).alias("kind"), "node")
+    firsts = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
+    rows = members.unionByName(firsts).join(texts, "node")
+    rows = rows.select("hub", "salt", "kind", "node", "text").repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, now, held = Shingler(), None, None
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for hub, kind, node, text in zip(*(b.column(c) for c in ("hub", "kind", "node", "text")), strict=True):
+                s = shingler.shingles(shingler.words(text.as_py()))
+                if not kind.as_py():
+                    now, held = hub.as_py(), s
+                elif now == hub.as_py():
+                    small, large = sorted((len(s), len(held)))
+                    if 100 * small >= percent * large:
+                        both = np.intersect1d(s, held, assume_unique=True).size
+                        if 100 * both >= percent * (small + large - both):
+                            found.append((node.as_py(), now))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def verified_links(texts: DataFrame, nodes: DataFrame, clusters: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v): spanning links of each task, between texts of different groups; nodes as near_dedup
+    makes them, texts(node, text), clusters(node, cluster), groups(node, component)."""
+    spark = nodes.sparkSession
     step = -float(np.log(percent / 100)) * (1 + 1e-9)
-    members = nodes.join(clusters, "node").withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int"))
+    members = nodes.select("node", "n_shingles", "reg_a", "reg_b").join(clusters, "node").join(groups, "node", "left")
+    members = members.withColumn("component", F.coalesce("component", "node"))
+    members = members.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int"))
     members = shared.materialise(members, "members")
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("cluster").agg(F.count("*").alias("c"), F.max(F.struct("n", "component")).alias("b"), F.sum("n").alias("n"))
+    open_ = shared.materialise(open_.where("c > 1").select("cluster", F.col("b.component").alias("bulk"), "n"), "open")
+    # Clusters of one component are done; the rest meet their largest component.
+    marked = meet(members, open_, "cluster", members.count()).withColumn("of_bulk", F.col("component") == F.col("bulk")).drop("bulk")
+    marked = shared.materialise(marked, "marked")
     # A cluster's classes are at most a few dozens (the logarithm of a text's length).
-    classes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    classes = marked.groupBy("cluster", "class", "of_bulk").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     cut = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     plan = classes.groupBy("cluster").agg(
-        F.sum("n").alias("total"), F.sum("w").alias("weight"), F.map_from_entries(F.collect_list(F.struct("class", cut))).alias("blocks")
+        F.sum("n").alias("n"), F.sum("w").alias("weight"),
+        *(F.map_from_entries(F.collect_list(F.when(side, F.struct("class", cut)))).alias(name) for name, side in (("bulk", F.col("of_bulk")), ("rest", ~F.col("of_bulk")))),
     )
-    whole = (F.col("total") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)
-    block = F.pmod(F.xxhash64("node"), F.try_element_at("blocks", F.col("class"))).cast("int")
-
-    def pairs(other_class: int) -> Column:
-        c, b = F.col("class"), F.col("block")
-        count = F.coalesce(F.try_element_at("blocks", c + other_class), F.lit(0))
-        each = F.filter(F.sequence(F.lit(-1), count - 1), lambda j: j >= 0)
-        lo, hi = (c + F.least(F.lit(other_class), F.lit(0))), (c + F.greatest(F.lit(other_class), F.lit(0)))
-        if other_class:
-            return F.transform(each, lambda j: F.xxhash64("cluster", lo, F.lit(1), j if other_class < 0 else b, b if other_class < 0 else j))
-        return F.transform(each, lambda j: F.xxhash64("cluster", lo, F.lit(0), F.least(b, j), F.greatest(b, j)))
-
-    tasks = F.when(whole, F.array(F.xxhash64("cluster"))).otherwise(F.concat(pairs(-1), pairs(0), pairs(1)))
-    planned = members.join(plan, "cluster").where("total > 1").withColumn("block", block).select("node", "rep", "digest", "reg_a", "reg_b", tasks.alias("tasks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    rows = planned.join(texts, "rep").select(F.explode("tasks").alias("task"), "node", "digest", "text", "reg_a", "reg_b")
+    plan = shared.materialise(plan.withColumn("whole", (F.col("n") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)).drop("weight"), "plan")
+    own = F.when(F.col("of_bulk"), F.try_element_at("bulk", F.col("class"))).otherwise(F.try_element_at("rest", F.col("class")))
+
+    def task(far: int, side: str) -> Column:
+        """The tasks that a text shares with the blocks of a side, of the class `far` from its own."""
+        c, b, mine = F.col("class"), F.col("block"), F.when(F.col("of_bulk"), F.lit("bulk")).otherwise(F.lit("rest"))
+        each = F.filter(F.sequence(F.lit(-1), F.coalesce(F.try_element_at(side, c + far), F.lit(0)) - 1), lambda j: j >= 0)
+
+        def name(j: Column) -> Column:
+            a, z = F.struct(c.alias("c"), mine.alias("s"), b.alias("b")), F.struct((c + far).alias("c"), F.lit(side).alias("s"), j.alias("b"))
+            return F.xxhash64("cluster", F.least(a, z), F.greatest(a, z))
+
+        return F.transform(each, name)
+
+    against_rest = F.concat(*(task(far, "rest") for far in (-1, 0, 1)))
+    against_bulk = F.concat(*(task(far, "bulk") for far in (-1, 0, 1)))
+    tasks = F.when(F.col("whole"), F.array(F.xxhash64("cluster"))).when(F.col("of_bulk"), against_rest).otherwise(F.concat(against_rest, against_bulk))
+    planned = meet(marked, plan, "cluster", marked.count()).withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    planned = planned.select("node", "component", "reg_a", "reg_b", tasks.alias("tasks")).where(F.size("tasks") > 0)
+    rows = planned.join(texts, "node").select(F.explode("tasks").alias("task"), "node", "component", "text", "reg_a", "reg_b")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(parts, "task").sortWithinPartitions("task", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        task, ids, sets, regs = None, [], [], {"a": [], "b": []}
+        task, ids, owners, sets, regs = None, [], [], [], {"a": [], "b": []}
         found: list[tuple[int, int]] = []
 
         def done() -> None:
             if len(ids) > 1:
-                found.extend(_links(np.array(ids, np.int64), sets, regs, percent))
+                found.extend(_links(np.array(ids, np.int64), np.array(owners, np.int64), sets, regs, percent))
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -301,16 +362,13 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perce
             return out
 
         for b in batches:
-            for t, i, digest, text, ra, rb in zip(*(b.column(c) for c in ("task", "node", "digest", "text", "reg_a", "reg_b")), strict=True):
+            for t, i, c, text, ra, rb in zip(*(b.column(c) for c in ("task", "node", "component", "text", "reg_a", "reg_b")), strict=True):
                 if t.as_py() != task:
                     done()
-                    task, ids, sets, regs = t.as_py(), [], [], {"a": [], "b": []}
-                words = shingler.words(text.as_py())
-                # Another text under the same doc_id, or the same row twice.
-                if hashlib.sha256(b" ".join(words)).digest() != digest.as_py() or (ids and ids[-1] == i.as_py()):
-                    continue
+                    task, ids, owners, sets, regs = t.as_py(), [], [], [], {"a": [], "b": []}
                 ids.append(i.as_py())
-                sets.append(shingler.shingles(words))
+                owners.append(c.as_py())
+                sets.append(shingler.shingles(shingler.words(text.as_py())))
                 regs["a"].append(ra.as_py())
                 regs["b"].append(rb.as_py())
             if found:
@@ -324,30 +382,50 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perce
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
-    return _judged(docs, percent).drop("text_key")
+    return _judged(docs, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """near_dedup's rows with text_key, which tells rows of one doc_id apart."""
+    """doc_id, text_key (tells rows of one doc_id apart), n_shingles, component_id and component_key
+    (the id and key of the text that stays of a group; null without words)."""
     all_rows = shared.materialise(prepare(docs, percent), "sketches")
     # A node is a text: copies follow it. Rows of one digest agree in all that first() takes.
-    nodes = all_rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "reg_a", "reg_b"))
-    )
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("stays")
+    nodes = all_rows.where("digest IS NOT NULL").groupBy("digest").agg(stays, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_shingles", "reg_a", "reg_b")))
     nodes = shared.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = band_rows(nodes)
-    buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    edges = bands.join(buckets, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    clusters = connected_components(edges).withColumnRenamed("component", "cluster")
-    groups = connected_components(verified_links(docs, nodes, clusters, percent))
-    least = nodes.join(groups, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    labels = nodes.select("digest", "node", "rep").join(groups.join(least, "component").select("node", "least"), "node", "left")
-    rows = all_rows.select("doc_id", "text_key", "n_shingles", "digest").join(labels, "digest", "left")
-    rows = rows.select("doc_id", "text_key", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    bands = shared.materialise(band_rows(nodes), "bands")
+    buckets = shared.materialise(bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    edges = meet(bands, buckets, "band", buckets.agg(F.sum("n")).first()[0] or 0)
+    edges = shared.materialise(edges.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), "candidates")
+    clusters = shared.materialise(connected_components(edges).withColumnRenamed("component", "cluster"), "clusters")
+    texts = shared.materialise(_texts(docs, nodes.join(clusters.select("node"), "node", "left_semi")), "texts")
+    near = shared.materialise(hub_links(texts, edges, percent), "links")
+    some = shared.materialise(connected_components(near), "groups")
+    more = verified_links(texts, nodes, clusters, some, percent)
+    groups = connected_components(some.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    groups = shared.materialise(groups.join(nodes.select("node", "stays"), "node"), "groups")
+    shared.discard(bands, buckets, edges, clusters, texts, near, some)
+    least = groups.groupBy("component").agg(F.min("stays").alias("least"), F.count("*").alias("n"))
+    least = meet(groups.select("node", "component"), least, "component", groups.count()).select("node", "least")
+    labels = nodes.select("digest", "node", "n", "stays").join(least, "node", "left").select("digest", "n", F.coalesce("least", "stays").alias("of"))
+    rows = all_rows.select("doc_id", "text_key", "n_shingles", "digest")
+    empty = rows.where("digest IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_key"))
+    rows = meet(rows.where("digest IS NOT NULL"), labels, "digest", all_rows.count())
+    return rows.select("doc_id", "text_key", "n_shingles", F.col("of.doc_id").alias("component_id"), F.col("of.text_key").alias("component_key")).unionByName(empty)
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes, from the row that stands for each; repeated rows bring a text once."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.xxhash64(doc_id, F.xxhash64("text")).alias("row"), doc_id.alias("id"), "text")
+    wanted = nodes.select(F.xxhash64("stays.doc_id", "stays.text_key").alias("row"), F.col("stays.doc_id").alias("node_id"), F.col("stays.text_key").alias("key"), "node")
+    met = rows.join(wanted, "row").where(F.col("id").eqNullSafe(F.col("node_id")) & (F.xxhash64("text") == F.col("key")))
+    return met.groupBy("row", "node").agg(F.first("text").alias("text")).select("node", "text")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that near_dedup drops; all columns."""
-    gone = _judged(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key"))
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
+    """docs without the rows that near_dedup drops; all columns. Of a group without ids one text stays."""
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("text_key") == F.col("component_key")))
+    gone = _judged(docs, percent).where(~F.coalesce(same, F.lit(True)) & F.col("component_key").isNotNull())
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
