@@ -30,7 +30,7 @@ gives no rows. Extra columns are not read.
 Features are summed in each batch and task before they are sent. Only branches below KNOWN go to
 the pages: as a broadcast, if they are at most BRANCH_LIMIT (counted), else in one stream with the
 pages of their host, sorted so that a host's branches come first; a host with more than a
-partition's share of pages is dealt to all partitions.
+partition's share of pages is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -331,14 +331,14 @@ def _with_stream(rows: DataFrame, tree: DataFrame, low: DataFrame) -> DataFrame:
     hosts = tree.where("host IS NOT NULL").select("host", "branch")
     known = hosts.join(every, F.col("branch") == F.col("_b"), "left").join(own, (F.col("host") == F.col("_h")) & (F.col("branch") == F.col("_o")), "left")
     known = known.where("every IS NOT NULL OR own IS NOT NULL").select("host", "branch", "own", "every")
-    counts = shared.materialise(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # Hosts with more than a partition's share: fewer than there are partitions.
-    large = counts.where(F.col("n") * parts > total).select("host").withColumn("large", F.lit(True))
-    salt = F.when(F.col("large"), F.pmod(F.xxhash64("page_id", "url"), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    salted = rows.join(F.broadcast(large), "host", "left").select("host", salt.alias("salt"), F.lit(1).alias("kind"), "page_id", "url", "html")
-    salts = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    marks = known.join(F.broadcast(large), "host", "left").select("host", F.explode(salts).alias("salt"), F.lit(0).alias("kind"), "branch", "own", "every")
+    # A host is dealt to as many tasks as it has partitions' shares of the pages.
+    total = max(1, rows.count())
+    salts = F.ceil(F.count("*") * F.lit(parts) / F.lit(total)).cast("int")
+    large = F.broadcast(rows.groupBy("host").agg(salts.alias("salts")).where("salts > 1"))  # fewer than `parts`
+    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("salts")), F.lit(0)).cast("int")
+    salted = rows.join(large, "host", "left").select("host", salt.alias("salt"), F.lit(1).alias("kind"), "page_id", "url", "html")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    marks = known.join(large, "host", "left").select("host", each.alias("salt"), F.lit(0).alias("kind"), "branch", "own", "every")
     both = salted.unionByName(marks, allowMissingColumns=True).repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
