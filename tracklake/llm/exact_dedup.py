@@ -4,15 +4,16 @@ Rows enter as keys (digest of the normalised text, stable identifier, content lo
 A streaming aggregation keyed by digest keeps, in a RocksDB state store without
 watermark or expiry, the row to keep and the group's size; later runs over the
 same state folder go on from there. A digest that is hit is no proof: the texts of
-all hits are read again by their locator and grouped by their full bytes; digests
-that hold more than one text are resolved by the texts themselves.
+all hits are read again at their locator (the file they were read from, and their doc_id) and grouped by
+their full bytes; digests that hold more than one text are resolved by the texts themselves.
 
 Texts are equal when identical after deleting SEPARATORS. Of equal texts the row with
 the most code points stays, then the smallest doc_id. Null texts count as empty, null
 doc_ids sort after all others; rows that agree in doc_id and text too are told apart by
-where they were read, and one stays. An empty table gives no rows. Extra columns pass by.
+the order in which they were read, and one stays. Very long texts are hashed and compared whole.
+An empty table gives no rows. Extra columns are not read, and kept by drop_copies, whatever their names.
 Copies of one text are summed in each task before they are sent, so a text that a third
-of all rows hold costs a row per task.
+of all rows hold costs a row per task; rows meet their group by shared.meet.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ def key_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
 
 
 def _best() -> Column:
-    """The row to keep, as the maximum of a struct: most code points, smallest doc_id (a null last)."""
-    return F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("minus_id"), (-F.col("uid")).alias("minus_uid"), F.col("doc_id"), F.col("locator"), F.col("uid")))
+    """The row to keep, as the minimum of a struct: most code points, smallest doc_id (a null last), first read."""
+    return F.min(F.struct((-F.col("n_chars")).alias("minus"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"), F.col("locator")))
 
 
 def run_stream(spark: SparkSession, keys_dir: str, state_dir: str, out_dir: str, max_files: int | None = None) -> None:
@@ -91,28 +92,24 @@ def groups_of(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_files: int | None = None) -> DataFrame:
-    """One row a document: doc_id, uid, keep_id, group_size, kept, digest, repeated (another
-    row has this doc_id and digest)."""
+    """One row a document: doc_id, uid (where it was read, unique in a run), keep_id, group_size, kept, digest."""
     spark = docs.sparkSession
-    keys_dir, out_dir = shared.scratch(spark, "keys"), shared.scratch(spark, "groups")
+    keys_dir, out_dir, state_dir = (shared.scratch(spark, n) for n in ("keys", "groups", "state"))
     key_rows(docs, digest).write.parquet(keys_dir)
     keys = spark.read.parquet(keys_dir)
-    if keys.isEmpty():
+    total = keys.count()
+    if not total:
         return keys.select("doc_id", "uid", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    run_stream(spark, keys_dir, shared.scratch(spark, "state"), out_dir, max_files)
-    groups = groups_of(spark, out_dir)
-    result = keys.join(groups, "digest").select(
-        "doc_id", "uid", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.uid") == F.col("uid")).alias("kept"), "digest"
-    )
+    run_stream(spark, keys_dir, state_dir, out_dir, max_files)
+    groups = groups_of(spark, out_dir).select("digest", F.col("group_size").alias("n"), "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
+    met = shared.materialise(shared.meet(keys.select("doc_id", "uid", "locator", "digest"), groups, "digest", total), "met")
+    result = met.select("doc_id", "uid", "keep_id", "group_size", (F.col("keep_uid") == F.col("uid")).alias("kept"), "digest")
 
     # Full bytes on hits: the texts of groups of two and more, each task sending a text once.
-    hits = keys.join(groups.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id", "digest").distinct()
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")), F.col("doc_id").eqNullSafe(F.col("hit_id")))
-        .select("hit_digest", normalised(F.col("text")).alias("bytes"))
-    )
-    # A doc_id that occurs with other texts as well brings those in; their own digest leaves them out.
+    hits = met.where("group_size > 1").select(F.col("doc_id").alias("hit_id"), F.col("locator").alias("hit_at"), F.col("digest").alias("hit_digest")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator"), "text")
+    texts = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("locator") == F.col("hit_at"))).select("hit_digest", normalised(F.col("text")).alias("bytes"))
+    # A doc_id that occurs with other texts in that file brings those in; their own digest leaves them out.
     texts = texts.groupBy("hit_digest", "bytes").agg(F.count("*").alias("n")).where(digest(F.col("bytes")) == F.col("hit_digest"))
     clashing = shared.materialise(texts.groupBy("hit_digest").agg(F.count("*").alias("texts")).where("texts > 1").select("hit_digest"), "clashes")
     if clashing.isEmpty():
@@ -140,18 +137,16 @@ def _by_bytes(docs: DataFrame, result: DataFrame, clashing: DataFrame, digest: C
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns. The texts move once, by doc_id."""
-    rows = exact_dedup(docs)
-    kept = rows.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    many = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_many"))
-    stay = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha256(normalised(F.col("text"))) == F.col("_digest")), "left_semi")
-    if many.isEmpty():
+    rows = shared.materialise(exact_dedup(docs).select("doc_id", "digest", "kept"), "judged")
+    id_, digest_, n_, u_ = shared.free_names(docs.columns, "_id", "_digest", "_n", "_u")
+    kept = rows.where("kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_))
+    own = sha256(normalised(F.col("text")))
+    stay = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (own == F.col(digest_)), "left_semi")
+    # A kept row that agrees in doc_id and text with another one brings that in too.
+    twice = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 AND kept")
+    if twice.isEmpty():
         return stay
-    # Some doc_ids occur more than once: of their rows that agree in text, the longest stays.
-    stay = shared.materialise(
-        stay.withColumns(
-            {"_d": sha256(normalised(F.col("text"))), "_n": F.coalesce(F.length("text"), F.lit(0)), "_u": F.monotonically_increasing_id()}
-        ),
-        "repeated",
-    )
-    best = stay.groupBy("doc_id", "_d").agg(F.max(F.struct("_n", (-F.col("_u")).alias("m"), "_u")).alias("b")).select(F.col("b._u").alias("_keep"))
-    return stay.join(best, F.col("_u") == F.col("_keep"), "left_semi").drop("_d", "_n", "_u")
+    stay = stay.withColumns({digest_: own, n_: -F.coalesce(F.length("text"), F.lit(0)), u_: F.monotonically_increasing_id()})
+    stay = shared.materialise(stay, "repeated")
+    best = stay.groupBy("doc_id", digest_).agg(F.min(F.struct(n_, u_)).alias("b")).select(F.col(f"b.{u_}").alias(id_))
+    return stay.join(best, F.col(u_) == F.col(id_), "left_semi").select(*docs.columns)
