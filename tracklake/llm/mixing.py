@@ -2,21 +2,23 @@
 
 Documents are leaves' rows in a tree domain - language - source. A budget of tokens is
 passed down: each node splits its budget among its children by their weights; a child
-that can't use its share (its tokens times max_epochs) takes what it can, and the
-rest goes to its siblings by their weights, and only what all siblings together can't use
+that can't use its share (the tokens of its leaves that have a weight, times max_epochs) takes what it can,
+and the rest goes to its siblings by their weights, and only what all siblings together can't use
 comes back to the ancestors' siblings. Each leaf then selects its token budget from seeded
 epochs: whole epochs first, then a prefix of the next one, whose order is a hash of (seed,
 epoch, doc_id).
 
-A prefix is found without sorting the leaf: tokens are summed by leaf and by BUCKETS ranges
-of the hash; only the range where the budget ends is looked at row by row. The selection
-is then a filter by leaf and hash, so texts are never shuffled. Leaves are as many as the tree
-has (LEAF_LIMIT, checked), and only their sums come to the driver.
+The tree is a table, a row a leaf, and is summed up and split level by level with windows over siblings:
+neither its leaves nor their sums come to the driver. A prefix is found without sorting the leaf:
+tokens are summed by leaf and by BUCKETS ranges of the hash, then, within the range where the budget ends, by
+BUCKETS ranges of that; only the rows of the range where it ends then are looked at one by one. The selection
+is a filter by leaf and hash, so texts are never shuffled while the leaves are at most LEAF_BROADCAST
+(counted); beyond that rows meet their leaf by shared.meet.
 
 Nulls: null texts have no tokens; null languages or sources are leaves of their own; null
 doc_ids hash alike. Rows of a leaf with one hash (repeated rows) are taken together or not at
-all. Rows without tokens cost nothing and are in every epoch. An empty table gives no rows.
-Extra columns are kept by select_rows. Weights not given are 1.
+all. Rows without tokens cost nothing and are in every epoch. Very long texts are taken whole. An empty
+table gives no rows. Extra columns are kept by select_rows, whatever their names. Weights not given are 1.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from pyspark.sql.window import Window
 
 from . import shared
 
-BUCKETS, LEAF_LIMIT = 4096, 200_000
-#: Hashes a bucket.
+BUCKETS = 256
+#: Hashes a bucket, and a bucket of a bucket.
 WIDTH = (1 << 63) // BUCKETS
+NARROW = WIDTH // BUCKETS
+LEAF_BROADCAST = 20_000
 LEVELS = ["domain", "lang", "source"]
 
 
@@ -57,9 +61,14 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(shared.WORD)), F.lit(0)).cast("long")
 
 
-def with_tree(docs: DataFrame, recipe: Recipe) -> DataFrame:
-    """Adds _domain; a source belongs to one of recipe.domains domains by its checksum."""
-    return docs.withColumn("_domain", F.concat(F.lit("domain"), F.coalesce(F.crc32(F.col("source").cast("string").cast("binary")), F.lit(0)) % recipe.domains))
+def domain_of(source: Column, recipe: Recipe) -> Column:
+    """A source belongs to one of recipe.domains domains by its checksum."""
+    return F.concat(F.lit("domain"), F.coalesce(F.crc32(source.cast("string").cast("binary")), F.lit(0)) % recipe.domains)
+
+
+def leaf_key(recipe: Recipe) -> Column:
+    """One value a leaf, never null."""
+    return F.struct(domain_of(F.col("source"), recipe).alias("domain"), F.col("lang").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
 def water_fill(budget: int, children: list[tuple[float, int]]) -> list[int]:
@@ -87,15 +96,22 @@ def water_fill(budget: int, children: list[tuple[float, int]]) -> list[int]:
 
 
 def leaf_budgets(leaves: dict[tuple, int], recipe: Recipe, budget: int | None = None) -> dict[tuple, int]:
-    """{(domain, lang, source): tokens there are} -> {leaf: tokens to take}."""
+    """{(domain, lang, source): tokens there are} -> {leaf: tokens to take}: the rule for a tree in memory, which budgets() follows."""
     budget = int(recipe.budget * sum(leaves.values())) if budget is None else budget
 
+    def weight(node: tuple) -> float:
+        return recipe.weight(LEVELS[len(node) - 1], node[-1])
+
+    def capacity(node: tuple, below: dict[tuple, int]) -> int:
+        """Of a node's leaves that have a weight on every level below it."""
+        return recipe.max_epochs * sum(n for k, n in below.items() if all(weight(k[:d]) > 0 for d in range(len(node) + 1, len(LEVELS) + 1)))
+
     def split(nodes: dict[tuple, int], depth: int, share: int) -> dict[tuple, int]:
         if depth == len(LEVELS):
             return {k: min(share, n * recipe.max_epochs) for k, n in nodes.items()}
-        names = sorted({k[depth] for k in nodes}, key=lambda x: (x is not None, str(x)))
-        below = [{k: n for k, n in nodes.items() if k[depth] == x} for x in names]
-        shares = water_fill(share, [(recipe.weight(LEVELS[depth], x), recipe.max_epochs * sum(b.values())) for x, b in zip(names, below, strict=True)])
+        names = sorted({k[: depth + 1] for k in nodes}, key=lambda k: (k[-1] is not None, str(k[-1])))
+        below = [{k: n for k, n in nodes.items() if k[: depth + 1] == x} for x in names]
+        shares = water_fill(share, [(weight(x), capacity(x, b)) for x, b in zip(names, below, strict=True)])
         out: dict[tuple, int] = {}
         for b, s in zip(below, shares, strict=True):
             out |= split(b, depth + 1, s)
@@ -104,40 +120,101 @@ def leaf_budgets(leaves: dict[tuple, int], recipe: Recipe, budget: int | None =
     return split(leaves, 0, budget)
 
 
+def _weight(level: str, recipe: Recipe) -> Column:
+    out = F.lit(1.0)
+    for name, w in recipe.weights.get(level, {}).items():
+        out = F.when(F.col(level).eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(out)
+    return out
+
+
+def budgets(leaves: DataFrame, recipe: Recipe) -> DataFrame:
+    """leaves(leaf, n) with target: the tokens to take."""
+    # p0 .. p3: the root and the nodes on the way to a leaf, as structs, which are equal where their nulls are.
+    path = [F.struct(F.lit(0)), *(F.struct(*(F.col(f"leaf.{c}") for c in LEVELS[: d + 1])) for d in range(len(LEVELS)))]
+    tree = leaves.select("leaf", "n", *(p.alias(f"p{d}") for d, p in enumerate(path)), *(_weight(level, recipe).alias(f"w{d}") for d, level in enumerate(LEVELS)))
+    usable = F.col("n") * recipe.max_epochs
+    for d in reversed(range(len(LEVELS))):
+        tree = tree.withColumn(f"c{d}", usable)
+        usable = F.when(F.col(f"w{d}") > 0, F.col(f"c{d}")).otherwise(F.lit(0))
+    given = tree.groupBy("p0").agg(F.least(F.floor(F.sum("n") * F.lit(recipe.budget)), F.sum(usable)).cast("long").alias("given"))
+    for d in range(len(LEVELS)):
+        nodes = tree.groupBy(f"p{d}", f"p{d + 1}").agg(F.first(f"w{d}").alias("w"), F.sum(f"c{d}").alias("c"))
+        given = _filled(nodes.join(given, f"p{d}"), f"p{d}", f"p{d + 1}")
+    return leaves.join(given.select(F.col(f"p{len(LEVELS)}").alias("leaf"), F.col("given").alias("target")), "leaf")
+
+
+def _weight(level: str, recipe: Recipe) -> Column:
+    out = F.lit(1.0)
+    for name, w in recipe.weights.get(level, {}).items():
+        out = F.when(F.col(f"leaf.{level}").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(out)
+    return out
+
+
+def _filled(nodes: DataFrame, up: str, name: str) -> DataFrame:
+    """(name, given): splits each parent's given among its children (w, c) as water_fill does. Sorted by capacity per
+    weight, the children that are filled up are the first ones, so sums over those before and after tell which they are."""
+    usable = (F.col("w") > 0) & (F.col("c") > 0)
+    rows = nodes.withColumn("usable", usable).withColumn("w", F.when(usable, F.col("w")).otherwise(F.lit(1.0)))
+    whole, w = Window.partitionBy(up), Window.partitionBy(up).orderBy(F.col("usable").desc(), F.col("c") / F.col("w"), F.col(name))
+    before = F.coalesce(F.sum(F.when(F.col("usable"), F.col("c"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.sum(F.when(F.col("usable"), F.col("w"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"before": before, "after": after})
+    rows = rows.withColumn("full", F.col("usable") & (F.col("c") <= (F.col("given") - F.col("before")) * F.col("w") / F.col("after")))
+    rows = rows.withColumn("open", F.col("usable") & ~F.col("full"))
+    left = F.col("given") - F.sum(F.when(F.col("full"), F.col("c")).otherwise(F.lit(0))).over(whole)
+    rows = rows.withColumns({"left": left, "weights": F.sum(F.when(F.col("open"), F.col("w"))).over(whole)})
+    rows = rows.withColumn("share", F.when(F.col("open"), F.floor(F.col("left") * F.col("w") / F.col("weights"))).otherwise(F.lit(0)).cast("long"))
+    # What rounding down leaves over, less than a token for each open child, goes to the first of them.
+    nth = F.sum(F.col("open").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"spare": F.col("left") - F.sum("share").over(whole), "nth": nth})
+    share = F.when(F.col("full"), F.col("c")).when(F.col("open"), F.col("share") + (F.col("nth") <= F.col("spare")).cast("int")).otherwise(F.lit(0))
+    return rows.select(name, share.cast("long").alias("given"))
+
+
 def plan(docs: DataFrame, recipe: Recipe = RECIPE) -> DataFrame:
-    """A row a leaf: _domain, lang, source, available, target, epochs (whole ones), cut (the
-    largest hash of the last epoch that is taken; null: none)."""
-    spark = docs.sparkSession
-    leaf = ["_domain", "lang", "source"]
-    rows = with_tree(docs, recipe).select(*leaf, F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
+    """A row a leaf: _domain, lang, source, leaf (the three as a struct), rows, available, target, epochs (whole ones), rest, cut (the
+    largest hash of the last epoch that is taken; null: none). A written table."""
+    rows = docs.select(leaf_key(recipe).alias("leaf"), F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
     rows = shared.materialise(rows, "tokens")
-    sums = rows.groupBy(*leaf).agg(F.sum("tokens").alias("n")).limit(LEAF_LIMIT + 1).collect()
-    if len(sums) > LEAF_LIMIT:
-        raise ValueError(f"more than {LEAF_LIMIT} leaves")
-    have = {(r["_domain"], r["lang"], r["source"]): int(r["n"]) for r in sums}
-    take = leaf_budgets(have, recipe)
-    schema = "leaf int, _domain string, lang string, source string, available long, target long, epochs int, rest long"
-    table = [(i, *k, n, take[k], take[k] // n if n else 1, take[k] % n if n else 0) for i, (k, n) in enumerate(have.items())]
-    leaves = spark.createDataFrame(table, schema)
-
-    named = leaves.where("rest > 0").select("leaf", "epochs", "rest", *(F.col(c).alias(f"of{c}") for c in leaf))
-    on = F.lit(True)
-    for c in leaf:
-        on = on & F.col(c).eqNullSafe(F.col(f"of{c}"))
-    hashed = rows.join(F.broadcast(named), on).select("leaf", "rest", "tokens", order_hash(F.col("doc_id"), F.col("epochs"), recipe).alias("h"))
-    hashed = hashed.withColumn("bucket", F.floor(F.col("h") / F.lit(WIDTH)))
-    buckets = hashed.groupBy("leaf", "rest", "bucket").agg(F.sum("tokens").alias("n"))
-    buckets = buckets.withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")))
-    # The bucket where the budget ends, and what the ones before it hold.
-    ends = buckets.where("upto > rest").groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-    ends = shared.materialise(ends.select(F.col("leaf").alias("end_leaf"), F.col("e.bucket").alias("end"), F.col("e.before").alias("before")), "ends")
-    inside = hashed.join(F.broadcast(ends), (F.col("leaf") == F.col("end_leaf")) & (F.col("bucket") == F.col("end")))
-    inside = inside.groupBy("leaf", "rest", "before", "h").agg(F.sum("tokens").alias("n"))
+    sums = shared.materialise(rows.groupBy("leaf").agg(F.count("*").alias("rows"), F.sum("tokens").alias("n")), "leaves")
+    share = F.when(F.col("n") > 0, F.col("n"))
+    leaves = budgets(sums, recipe).select(
+        "leaf", "rows", F.col("n").alias("available"), "target",
+        F.coalesce(F.floor(F.col("target") / share), F.lit(1)).cast("int").alias("epochs"), F.coalesce(F.col("target") % share, F.lit(0)).alias("rest"),
+    )
+    leaves = shared.materialise(leaves, "budgets")
+
+    hashed = with_leaf(rows, leaves.where("rest > 0").select("leaf", "rows", "epochs", "rest"))
+    hashed = hashed.select("leaf", "rest", "tokens", order_hash(F.col("doc_id"), F.col("epochs"), recipe).alias("h"))
+    hashed = shared.materialise(hashed, "hashes")
+    wide = _end(hashed.withColumn("bucket", F.floor(F.col("h") / F.lit(WIDTH))).withColumn("before", F.lit(0).cast("long")), WIDTH)
+    inside = hashed.join(wide, "leaf").where((F.col("h") >= F.col("from")) & (F.col("h") < F.col("to")))
+    narrow = _end(inside.withColumn("bucket", F.floor(F.col("h") / F.lit(NARROW))), NARROW)
+    last = hashed.join(narrow, "leaf").where((F.col("h") >= F.col("from")) & (F.col("h") < F.col("to")))
+    last = last.groupBy("leaf", "rest", "before", "h").agg(F.sum("tokens").alias("n"))
     taken = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("h"))
-    cut = inside.withColumn("upto", taken).where("upto <= rest").groupBy(F.col("leaf").alias("cut_leaf")).agg(F.max("h").alias("h"))
-    cuts = ends.join(cut, F.col("end_leaf") == F.col("cut_leaf"), "left").select("end_leaf", F.coalesce(F.col("h"), F.col("end") * F.lit(WIDTH) - 1).alias("cut"))
-    cuts = shared.materialise(cuts, "cuts")
-    return leaves.join(F.broadcast(cuts), F.col("leaf") == F.col("end_leaf"), "left").select(*leaf, "available", "target", "epochs", "rest", "cut")
+    cut = last.withColumn("upto", taken).where("upto <= rest").groupBy("leaf").agg(F.max("h").alias("h"))
+    cuts = narrow.join(cut, "leaf", "left").select("leaf", F.coalesce("h", F.col("from") - 1).alias("cut"))
+    done = shared.materialise(leaves.join(cuts, "leaf", "left").select(F.col("leaf.domain").alias("_domain"), "leaf.lang", "leaf.source", "*"), "cuts")
+    shared.discard(rows, sums, leaves, hashed, narrow)
+    return done
+
+
+def _end(rows: DataFrame, width: int) -> DataFrame:
+    """leaf, from, to, before: the bucket of hashes where a leaf's rest ends, and the tokens before it; rows(leaf, rest, before, tokens, bucket).
+    A leaf has at most BUCKETS + 1 buckets (a bucket that a wider one's edge cuts counts on both sides)."""
+    buckets = rows.groupBy("leaf", "rest", "before", "bucket").agg(F.sum("tokens").alias("n"))
+    buckets = buckets.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")))
+    ends = buckets.where("upto > rest").groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    return shared.materialise(ends.select("leaf", (F.col("e.bucket") * F.lit(width)).alias("from"), ((F.col("e.bucket") + 1) * F.lit(width)).alias("to"), "e.before"), "ends")
+
+
+def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows(leaf, ...) joined with leaves(leaf, rows, ...)."""
+    count = leaves.count()
+    if count <= LEAF_BROADCAST:
+        return rows.join(F.broadcast(leaves.drop("rows")), "leaf")
+    return shared.meet(rows, leaves.withColumnRenamed("rows", "n"), "leaf", leaves.agg(F.sum("rows")).first()[0])
 
 
 def order_hash(doc_id: Column, epoch: Column, recipe: Recipe) -> Column:
@@ -145,12 +222,14 @@ def order_hash(doc_id: Column, epoch: Column, recipe: Recipe) -> Column:
     return F.xxhash64(F.lit(recipe.seed), epoch.cast("int"), doc_id).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def select_rows(docs: DataFrame, recipe: Recipe = RECIPE, leaves: DataFrame | None = None) -> DataFrame:
-    """docs' columns, _domain and _epoch: a row for each epoch that takes the document."""
+def select_rows(docs: DataFrame, recipe: Recipe = RECIPE, leaves: DataFrame | None = None, domain: str = "_domain", epoch: str = "_epoch") -> DataFrame:
+    """docs' columns, and last the domain and the epoch, under the names given unless docs has these: a row
+    for each epoch that takes the document."""
     leaves = plan(docs, recipe) if leaves is None else leaves
-    named = leaves.select(F.col("_domain").alias("_of_domain"), F.col("lang").alias("_of_lang"), F.col("source").alias("_of_source"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    on = F.col("_domain").eqNullSafe(F.col("_of_domain")) & F.col("lang").eqNullSafe(F.col("_of_lang")) & F.col("source").eqNullSafe(F.col("_of_source"))
-    rows = with_tree(docs, recipe).join(F.broadcast(named), on)
-    last = F.coalesce(order_hash(F.col("doc_id").cast("long"), F.col("_epochs"), recipe) <= F.col("_cut"), F.lit(False))
-    count = F.col("_epochs") + last.cast("int")
-    return rows.withColumn("_epoch", F.explode(F.filter(F.sequence(F.lit(-1), count - 1), lambda e: e >= 0))).drop("_of_domain", "_of_lang", "_of_source", "_epochs", "_cut")
+    domain, epoch, key, epochs, cut = shared.free_names(docs.columns, domain, epoch, "_leaf", "_epochs", "_cut")
+    named = leaves.select("leaf", "rows", F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), leaf_key(recipe).alias("leaf"))
+    met = with_leaf(held, named)
+    last = F.coalesce(order_hash(F.col("row.doc_id").cast("long"), F.col(epochs), recipe) <= F.col(cut), F.lit(False))
+    count = F.col(epochs) + last.cast("int")
+    return met.select("row.*", F.col("leaf.domain").alias(domain), F.explode(F.filter(F.sequence(F.lit(-1), count - 1), lambda e: e >= 0)).alias(epoch))
