@@ -12,8 +12,10 @@ parts of a cell (by a hash of doc_id), the counts are summed up along the curve
 text that a third of all rows share is thus numbered by many tasks.
 
 Nulls in a dimension have the step 0; a null doc_id is ranked before others; tied and
-repeated rows get slots of their own; null texts have no bytes (size 1). An empty table gives no rows.
-Extra columns are kept by shard_rows unless a result column has their name, which replaces it.
+repeated rows get slots of their own (rows with one key in any order among themselves); null texts have
+no bytes (size 1); long texts are not moved by op4, which ranks without them. An empty table gives no
+rows. Extra columns are kept by shard_rows, whatever their names, unless they are called shard or slot,
+which the results replace.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import shared
+
 BITS, SALTS, SHARDS = 4, 64, 8
 DIMENSIONS = ["lang", "source", "n_chars"]
 
@@ -91,28 +95,37 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, dimensions: list[str] | None
     """Adds shard int and slot long (gapless from 0 in each shard, in curve order)."""
     dims = DIMENSIONS if dimensions is None else dimensions
     df = df.drop("shard", "slot")
-    rows = df.withColumn("_cell", cell_code(df, dims, bits)).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    parts = rows.groupBy("_cell", "_part").agg(F.count("*").alias("_n"))
-    cells = parts.groupBy("_cell").agg(F.sum("_n").alias("_n")).withColumn("_at", steps_of("_cell", len(dims), bits))
-    cells = with_hilbert(cells, "_at", "_curve", len(dims), bits)
+    cell, part, number, rank, shard_, slot_ = shared.free_names(df.columns, "_cell", "_part", "_number", "_rank", "_shard", "_slot")
+    rows = df.withColumns({cell: cell_code(df, dims, bits), part: F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")})
+    parts = rows.groupBy(F.col(cell).alias("cell"), F.col(part).alias("part")).agg(F.count("*").alias("n"))
+    cells = parts.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("at", steps_of("cell", len(dims), bits))
+    cells = with_hilbert(cells, "at", "curve", len(dims), bits)
     # At most 2^(bits * dimensions) cells pass through this one task.
-    before = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = cells.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cell_at"), F.sum("_n").over(whole).alias("_total"))
-    inside = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("_part_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(cells, "_cell").select(
-        "_cell", "_part", (F.col("_cell_at") + F.col("_part_at")).alias("_at"), "_total"
+    before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = cells.select("cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_at"), F.sum("n").over(whole).alias("total"))
+    inside = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("part_at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(cells, "cell").select(
+        F.col("cell").alias(cell), F.col("part").alias(part), F.struct((F.col("cell_at") + F.col("part_at")).alias("first"), "total").alias(rank)
     )
-    number = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy(key))
-    ranked = rows.withColumn("_number", number).join(offsets, ["_cell", "_part"]).withColumn("_rank", F.col("_at") + F.col("_number") - 1)
-    q, r = F.floor(F.col("_total") / shards), F.col("_total") % shards
+    ranked = rows.withColumn(number, F.row_number().over(Window.partitionBy(cell, part).orderBy(key))).join(offsets, [cell, part])
+    at, total = F.col(f"{rank}.first") + F.col(number) - 1, F.col(f"{rank}.total")
+    q, r = F.floor(total / shards), total % shards
     long_rows = r * (q + 1)
-    in_long = F.col("_rank") < long_rows
-    shard = F.when(in_long, F.floor(F.col("_rank") / (q + 1))).otherwise(r + F.floor(F.try_divide(F.col("_rank") - long_rows, q)))
-    slot = F.when(in_long, F.col("_rank") % (q + 1)).otherwise(F.try_mod(F.col("_rank") - long_rows, q))
-    return ranked.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).select(*df.columns, "shard", "slot")
+    in_long = at < long_rows
+    shard = F.when(in_long, F.floor(at / (q + 1))).otherwise(r + F.floor(F.try_divide(at - long_rows, q)))
+    slot = F.when(in_long, at % (q + 1)).otherwise(F.try_mod(at - long_rows, q))
+    return ranked.select(*df.columns, shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+
+
+#: Rows of a file that write_shards writes.
+FILE_ROWS = 1_000_000
 
 
-def write_shards(df: DataFrame, path: str, **options: object) -> None:
-    """The rows as one folder a shard, rows in curve order within each file."""
-    shard_rows(df, **options).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, file_rows: int = FILE_ROWS, **options: object) -> None:
+    """The rows as one folder a shard, cut into files of file_rows rows in curve order, each of which a task
+    sorts and writes: a file's footer covers a compact region of all dimensions."""
+    rows = shard_rows(df, **options)
+    run = shared.free_name(rows.columns, "_run")
+    rows = rows.withColumn(run, F.floor(F.col("slot") / file_rows))
+    rows.repartition("shard", run).sortWithinPartitions("shard", "slot").drop(run).write.partitionBy("shard").parquet(path)
