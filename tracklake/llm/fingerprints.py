@@ -10,11 +10,12 @@ held to 0..1.
 
 Nulls and empty texts, or such without words: the fingerprint is the empty string, whose
 likeness is 1 to itself and 0 to any other. Equal texts have equal fingerprints. Null
-doc_ids come last in the order; tied doc_ids are ordered by text. A single document is its own
-next one. Very long texts are taken whole. An empty table gives no rows. Extra columns
-are not read. Neighbours in doc_id order are met by one shuffle: rows go to ranges of doc_id
-(cut at sampled ids, RANGES_PER_PARTITION times as many as shuffle partitions), and the row at
-a cut goes to both ranges it touches.
+doc_ids come last in the order, by a hash of their text, the largest first; tied doc_ids are ordered by
+text. A single document is its own next one. Very long texts are taken whole. An empty table gives no rows.
+Extra columns are not read. Neighbours in doc_id order are met by one shuffle: rows go to ranges of doc_id, and
+those without one to ranges of the hash (cut at values that occur, RANGES_PER_PARTITION times as many as
+shuffle partitions), and the row at a cut goes to both ranges it touches. Only rows with one id, or without
+an id and with one text, are bound to one range.
 """
 
 from __future__ import annotations
@@ -91,29 +92,45 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
+def _cuts(df: DataFrame, column: str, ranges: int) -> list[int]:
+    """Values of a column that occur, each the largest of its range, the last the largest of all. Percentiles
+    of large values are rounded to doubles: they part the ranges, whose maxima are then taken."""
+    shares = [k / ranges for k in range(1, ranges + 1)]
+    rough = sorted(set(df.agg(F.percentile_approx(column, shares, 10 * ranges)).first()[0] or []))
+    if not rough:
+        return []
+    known = df.where(F.col(column).isNotNull())
+    return sorted(r["most"] for r in known.groupBy(_place(column, rough)[0]).agg(F.max(column).alias("most")).collect())
+
+
+def _place(column: str, cuts: list[int], group: int = 64) -> tuple[Column, Column]:
+    """The range of a value (ranges ascend from 0), and whether it is its range's largest; by two short searches."""
+    coarse, fine = F.lit(cuts[group - 1 :: group]).cast("array<bigint>"), F.lit(cuts).cast("array<bigint>")
+    skip = (F.size(F.filter(coarse, lambda c: c < F.col(column))) * group) if len(cuts) >= group else F.lit(0)
+    near = F.slice(fine, skip + 1, group)
+    return skip + F.size(F.filter(near, lambda c: c < F.col(column))), F.array_contains(near, F.col(column))
+
+
 def with_next(df: DataFrame, columns: list[str], ranges: int) -> DataFrame:
     """Adds next_<column>: the value of the next row in descending doc_id order, of the first row after the last."""
-    cuts = df.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges + 1)], 10 * ranges)).first()[0] or []
-    # The cuts are ids that occur, each the first of its range; the last is the largest id of all.
-    cuts = sorted(set(cuts) | set(x for x in [df.agg(F.max("doc_id")).first()[0]] if x is not None))
-    group = 64
-    coarse, fine = F.lit(cuts[group - 1 :: group]).cast("array<bigint>"), F.lit(cuts).cast("array<bigint>")
-    if not cuts:  # no ids: one range
-        place, first = F.lit(0), F.lit(False)
-    else:
-        skip = (F.size(F.filter(coarse, lambda c: c < F.col("doc_id"))) * group) if len(cuts) >= group else F.lit(0)
-        place = F.coalesce(skip + F.size(F.filter(F.slice(fine, skip + 1, group), lambda c: c < F.col("doc_id"))), F.lit(0))
-        first = F.coalesce(F.array_contains(F.slice(fine, skip + 1, group), F.col("doc_id")), F.lit(False))
-    n = max(1, len(cuts))
+    df = df.withColumn("_none", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    ids, nones = _cuts(df, "doc_id", ranges), _cuts(df, "_none", ranges)
+    place, first = F.lit(0), F.lit(False)
+    if ids:
+        place, first = _place("doc_id", ids)
+        place = place + len(nones)
+    if nones:  # below all ids
+        low, low_first = _place("_none", nones)
+        place, first = F.when(F.col("doc_id").isNull(), low).otherwise(place), F.when(F.col("doc_id").isNull(), low_first).otherwise(first)
+    n = max(1, len(ids) + len(nones))
     # The first row of a range follows the last row of the range above, and is a guest there.
     own = F.struct(place.cast("int").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(F.pmod(place + 1, F.lit(n)).cast("int").alias("range"), F.lit(True).alias("guest"))
     spots = F.when(first, F.array(own, guest)).otherwise(F.array(own))
     rows = df.withColumn("_spot", F.explode(spots)).select("*", F.col("_spot.range").alias("_range"), F.col("_spot.guest").alias("_guest")).drop("_spot")
-    order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = rows.withColumns({f"next_{c}": F.lead(c).over(order) if cuts else F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in columns})
-    return out.where("NOT _guest").drop("_range", "_guest")
+    order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_none").desc(), F.col("text").asc_nulls_first())
+    out = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    return out.where("NOT _guest").drop("_range", "_guest", "_none")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
