@@ -4,12 +4,13 @@ Features are the n-grams (ORDERS code points, A-Z lowered) that a text has, hash
 2^HASH_BITS. r_j = log of the ratio of a feature's smoothed share in toxic and in other training
 texts; a logistic regression is trained on the features x_j * r_j, by Adam on mini-batches
 with a weak L2. Training texts are a bounded sample of the labelled rows (SAMPLE rows of
-each class at most, by the order of a hash of doc_id), and the intercept is set right for the
+each class at most, by the order of a hash of doc_id; one task holds them, whole), and the intercept is set right for the
 classes' shares among all labelled rows. Every text is scored whole.
 
 Nulls: a null text counts as empty and is scored as such; null labels and null doc_ids are not
 trained on; a null doc_id is scored as any other row. Several labels for one doc_id: it is toxic if one says
-so. Texts with several rows are scored alike. Without labelled rows of both classes, every
+so, and of several texts it is the least that is trained on. Texts with several rows are scored alike;
+very long texts are scored whole, some at a time. Without labelled rows of both classes, every
 text gets the share of toxic labels (0 if there are none). An empty table gives no rows. Extra columns are
 not read. Labels, lang, source and doc_id are not among the features.
 """
@@ -164,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # 2 * sample ids at most: bounded by the parameter, so they may be broadcast.
     picked = [known.where(F.col("toxic") > 0 if c else F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("text", "toxic", "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # of several texts, the least
     shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
