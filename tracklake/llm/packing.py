@@ -11,8 +11,12 @@ row a length), however many documents there are:
 
 The plan says, for each length, which ranks go to which kind of bin, and where in it. Pieces
 get their rank within their length by counting (length, salt) groups, so a length that a
-third of all rows share is ranked by many tasks. The plan's size depends on the capacity
-alone, not on the rows; it is checked (PLAN_LIMIT) before it goes to the tasks.
+third of all rows share is ranked by many tasks.
+
+The plan's size depends on the capacity C alone, and so it may be broadcast. A step of the plan ends a length
+or uses up a run of equal gaps, and leaves at most one new run, whose gap is less than half as large: a
+run is used up log2(C) times at most. A length opens three runs at most (its bins, the rest of a run, the rest
+of its pieces). That makes 3 C log2(C) steps, with at most C / length rows each.
 
 Nulls: a null text counts as empty and gives the one token END. Repeated rows and tied doc_ids
 are packed each on its own. An empty table gives no pieces. Very long texts are cut
@@ -36,7 +40,6 @@ CAPACITY, END, SALTS = 2048, 0, 64
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks; it gives the same ids, several times faster.
 RANKS, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
-PLAN_LIMIT = 2_000_000
 
 
 def load_tokenizer(ranks: str = RANKS, special: dict[str, int] | None = None):
@@ -148,11 +151,8 @@ def assign(items: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = (
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots, _ = plan_bins(histogram, capacity)
-    if len(slots) > PLAN_LIMIT:
-        raise ValueError(f"the plan has {len(slots)} rows; PLAN_LIMIT is {PLAN_LIMIT}")
     slots.sort()
-    table = np.array(slots, np.int64).reshape(-1, 5)
-    lengths, begins = table[:, 0], np.searchsorted(table[:, 0], np.arange(capacity + 2))
+    plan = items.sparkSession.sparkContext.broadcast(np.array(slots, np.int64).reshape(-1, 5))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys))
@@ -162,6 +162,8 @@ def assign(items: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = (
     schema = items.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = plan.value
+        lengths = table[:, 0]
         # Ranks of all lengths on one line, so that one search finds each piece's slot.
         wide = int(table[:, 1].max(initial=0) + table[:, 2].max(initial=0)) + 1
         line = lengths * wide + table[:, 1]
