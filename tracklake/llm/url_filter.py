@@ -8,14 +8,15 @@ vectorised step over a batch of URLs advances every rule of every URL.
 Glob syntax: `*` is any run without `/`, `**` any run, `?` one character but `/`.
 
 Nulls: a null URL, or one without `://`, has empty host and path and matches no rule.
-Empty, very long, tied and repeated rows need no care: rows are judged one by one, and
-long URLs run as their own group, so a batch costs its bytes. Of equally long matching
+Empty, very long, tied and repeated rows need no care: rows are judged one by one, some
+STEP_BYTES at a time, so memory follows these. Of equally long matching
 rules, block wins, then the smaller rule. Extra columns pass unless a result column has
 that name, which replaces it. An empty rule list gives every row the default verdict.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 DEFAULT_VERDICT = "allow"
+#: Bytes of URLs that run together, a URL at least.
+STEP_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -115,6 +120,7 @@ class ShiftAnd:
 def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """Adds host, path, rule and verdict to each row. The automaton's size is that of
     the rule list, a parameter; it goes to the tasks with the function."""
+    shared.bounded_batches(df.sparkSession)
     ranked = sorted(range(len(rules)), key=lambda k: (-len(rules[k].name.encode()), rules[k].verdict != "block", rules[k].name))
     ranked_rules = [rules[k] for k in ranked]
     automaton = ShiftAnd([r.glob for r in ranked_rules])
@@ -132,7 +138,9 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
         verdicts = np.array([r.verdict for r in ranked_rules] + [default], dtype=object)
         for b in batches:
             urls = [f".{h}{p}".encode() for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            hit = automaton.matches(urls)
+            ends = np.cumsum([len(u) for u in urls])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // STEP_BYTES)) + 1).tolist(), len(urls)]
+            hit = np.concatenate([automaton.matches(urls[lo:hi]) for lo, hi in itertools.pairwise(cuts)])
             best = np.where(hit.any(axis=1), hit.argmax(axis=1), len(ranked_rules)) if ranked_rules else np.zeros(len(urls), int)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(names[best].tolist(), pa.string()), pa.array(verdicts[best].tolist(), pa.string())],
