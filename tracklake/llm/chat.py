@@ -12,7 +12,7 @@ in a text, and unescaping gives back each character.
 
 Nulls: a null text or role counts as empty, a null turn sorts first, rows with a null
 conversation id form one conversation. Repeated rows and tied turns stay, each as a turn
-of its own. Empty texts give empty turns. An empty table gives no conversation. Extra
+of its own. Empty texts give empty turns, very long ones are kept whole. An empty table gives no conversation. Extra
 columns are not read. A conversation is one output string, so its rows meet in one task
 by definition; only the turns of one conversation do.
 """
@@ -73,25 +73,23 @@ def format_conversations(df: DataFrame) -> DataFrame:
             ),
         ).alias("p"),
     )
-    loss = F.aggregate(
-        "p",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["before"]) + F.length(p["text"])).alias("at"),
-            F.when(
-                p["learned"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + F.length(p["before"])).alias("start"), F.length(p["text"]).cast("long").alias("length"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    # Where texts start: sums within runs of about the root of the number of turns, on top of the sums of the
+    # runs, so that a long conversation costs far less than the square of its turns.
+    sized = marked.withColumn("n", F.transform("p", lambda p: (F.length(p["before"]) + F.length(p["text"])).cast("long")))
+    sized = sized.withColumn("w", F.ceil(F.sqrt(F.size("n"))).cast("int"))
+    sized = sized.withColumn("runs", F.transform(F.sequence(F.lit(0), F.floor((F.size("n") - 1) / F.col("w")).cast("int")), lambda k: F.slice("n", k * F.col("w") + 1, F.col("w"))))
+    sized = sized.withColumn("tops", _sums_before(F.transform("runs", lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0).cast("long")))
+    sized = sized.withColumn("at", F.flatten(F.transform("runs", lambda r, k: _sums_before(r, F.get(F.col("tops"), k)))))
+    spans = F.transform("p", lambda p, k: F.struct(p["learned"].alias("learned"), (F.get(F.col("at"), k) + F.length(p["before"])).alias("start"), F.length(p["text"]).cast("long").alias("length")))
+    loss = F.transform(F.filter(spans, lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     text = F.concat(F.array_join(F.transform("p", lambda p: F.concat(p["before"], p["text"])), ""), F.lit(TURN_END))
-    return marked.select("conv_id", text.alias("formatted"), loss.alias("loss"))
+    return sized.select("conv_id", text.alias("formatted"), loss.alias("loss"))
+
+
+def _sums_before(values: Column, start: Column) -> Column:
+    """For each value, start and the sum of the values before it."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
