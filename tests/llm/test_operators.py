@@ -54,12 +54,12 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def brute(texts):
+def brute(texts, percent=85):
     ids, sets = list(texts), {i: shingles(t) for i, t in texts.items()}
     group = {i: i for i in ids}
     for a, b in itertools.combinations(ids, 2):
         both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             low, high = sorted((group[a], group[b]))
             group = {k: low if v == high else v for k, v in group.items()}
     return group, sets
@@ -323,7 +323,7 @@ def test_pipeline(spark):
         if name == "exact_dedup":
             assert out.count() == len({"".join((r.text or "").split()) for r in docs.select("text").collect()})
         if name == "near_dedup":
-            groups, _ = brute({r.doc_id: r.text for r in docs.collect()})
+            groups, _ = brute({r.doc_id: r.text for r in docs.collect()}, corpus_pipeline.NEAR_PERCENT)
             assert {r.doc_id for r in out.select("doc_id").collect()} == set(groups.values())
         if name != "packing":
             assert out.columns == docs.columns
