@@ -254,6 +254,18 @@ def test_op9_selects_what_the_budgets_say(spark, table):
     assert all(r.tokens == tokens[r.doc_id] and (r.domain, r.lang, r.source) == leaf_of(r.lang, r.source, recipe) for r in got)
 
 
+def test_prefixes_end_anywhere(spark):
+    """The last hashes of all, and hashes that only their low bits tell apart."""
+    top, low = (1 << 63) - 1, 5 << 40
+    hashes = [(h, 3) for h in (0, 1, 2, low, low + 1, low + (1 << 30), top - 1, top)]
+    for rest in range(len(hashes) * 3):
+        rows = spark.createDataFrame([("a", rest, 0, n, h) for h, n in hashes], "leaf string, rest long, before long, tokens long, h long").coalesce(1)
+        at = mixing._end(rows, mixing.HASH_BITS - mixing.BITS).first()
+        mine = [(h, n) for h, n in hashes if at["from"] <= h <= at["to"]]
+        before = sum(n for h, n in hashes if h < at["from"])
+        assert at.before == before <= rest < before + sum(n for _, n in mine)
+
+
 def test_budgets_as_a_table_and_in_memory(spark):
     dice = random.Random(11)
     for turn in range(6):

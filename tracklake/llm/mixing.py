@@ -10,8 +10,8 @@ epoch, doc_id).
 
 The tree is a table, a row a leaf, and is summed up and split level by level with windows over siblings:
 neither its leaves nor their sums come to the driver. A prefix is found without sorting the leaf:
-tokens are summed by leaf and by BUCKETS ranges of the hash, then, within the range where the budget ends, by
-BUCKETS ranges of that; only the rows of the range where it ends then are looked at one by one. The selection
+tokens are summed by leaf and by 2^BITS ranges of the hash, then, within the range where the budget ends, by
+2^BITS ranges of that; only the rows of the range where it ends then are looked at one by one. The selection
 is a filter by leaf and hash, so texts are never shuffled while the leaves are at most LEAF_BROADCAST
 (counted); beyond that rows meet their leaf by shared.meet.
 
@@ -31,10 +31,8 @@ from pyspark.sql.window import Window
 
 from . import shared
 
-BUCKETS = 256
-#: Hashes a bucket, and a bucket of a bucket.
-WIDTH = (1 << 63) // BUCKETS
-NARROW = WIDTH // BUCKETS
+#: Hashes have 63 bits; a range of them is named by its first BITS bits, and a range within it by as many more.
+HASH_BITS, BITS = 63, 8
 LEAF_BROADCAST = 20_000
 LEVELS = ["domain", "lang", "source"]
 
@@ -187,10 +185,10 @@ def plan(docs: DataFrame, recipe: Recipe = RECIPE) -> DataFrame:
     hashed = with_leaf(rows, leaves.where("rest > 0").select("leaf", "rows", "epochs", "rest"))
     hashed = hashed.select("leaf", "rest", "tokens", order_hash(F.col("doc_id"), F.col("epochs"), recipe).alias("h"))
     hashed = shared.materialise(hashed, "hashes")
-    wide = _end(hashed.withColumn("bucket", F.floor(F.col("h") / F.lit(WIDTH))).withColumn("before", F.lit(0).cast("long")), WIDTH)
-    inside = hashed.join(wide, "leaf").where((F.col("h") >= F.col("from")) & (F.col("h") < F.col("to")))
-    narrow = _end(inside.withColumn("bucket", F.floor(F.col("h") / F.lit(NARROW))), NARROW)
-    last = hashed.join(narrow, "leaf").where((F.col("h") >= F.col("from")) & (F.col("h") < F.col("to")))
+    wide = _end(hashed.withColumn("before", F.lit(0).cast("long")), HASH_BITS - BITS)
+    inside = hashed.join(wide, "leaf").where(F.col("h").between(F.col("from"), F.col("to")))
+    narrow = _end(inside, HASH_BITS - 2 * BITS)
+    last = hashed.join(narrow, "leaf").where(F.col("h").between(F.col("from"), F.col("to")))
     last = last.groupBy("leaf", "rest", "before", "h").agg(F.sum("tokens").alias("n"))
     taken = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("h"))
     cut = last.withColumn("upto", taken).where("upto <= rest").groupBy("leaf").agg(F.max("h").alias("h"))
@@ -200,13 +198,14 @@ def plan(docs: DataFrame, recipe: Recipe = RECIPE) -> DataFrame:
     return done
 
 
-def _end(rows: DataFrame, width: int) -> DataFrame:
-    """leaf, from, to, before: the bucket of hashes where a leaf's rest ends, and the tokens before it; rows(leaf, rest, before, tokens, bucket).
-    A leaf has at most BUCKETS + 1 buckets (a bucket that a wider one's edge cuts counts on both sides)."""
-    buckets = rows.groupBy("leaf", "rest", "before", "bucket").agg(F.sum("tokens").alias("n"))
-    buckets = buckets.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")))
-    ends = buckets.where("upto > rest").groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-    return shared.materialise(ends.select("leaf", (F.col("e.bucket") * F.lit(width)).alias("from"), ((F.col("e.bucket") + 1) * F.lit(width)).alias("to"), "e.before"), "ends")
+def _end(rows: DataFrame, low: int) -> DataFrame:
+    """leaf, from, to, before: the hashes, alike but for their `low` last bits, among which a leaf's rest ends, and
+    the tokens before them; rows(leaf, rest, before, tokens, h). A leaf has at most 2^BITS such ranges here."""
+    ranges = rows.groupBy("leaf", "rest", "before", F.shiftright("h", low).alias("r")).agg(F.sum("tokens").alias("n"))
+    ranges = ranges.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("r")))
+    ends = ranges.where("upto > rest").groupBy("leaf").agg(F.min(F.struct("r", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    first = F.shiftleft("e.r", low)
+    return shared.materialise(ends.select("leaf", first.alias("from"), (first + ((1 << low) - 1)).alias("to"), "e.before"), "ends")
 
 
 def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
