@@ -97,14 +97,28 @@ def crop_box(det):
     return moved.select(*KEY, *geo.crop_box(200, 150)).where((F.col("right") > F.col("left")) & (F.col("bottom") > F.col("top")))
 
 
+#: Class names with their team's head and colour (blue, green, red).
+_TEAMS = """teams AS (SELECT class_name, CASE lower(split_part(class_name, '_', 1)) WHEN 'refree' THEN 'referee' ELSE lower(split_part(class_name, '_', 1)) END AS head FROM (SELECT DISTINCT class_name FROM {of})),
+ colors AS (SELECT t.class_name, t.head, c.b, c.g, c.r FROM teams t JOIN (VALUES ('ball', 0, 255, 255), ('red', 0, 0, 255), ('white', 255, 255, 255), ('referee', 0, 165, 255)) c(head, b, g, r) USING (head)),
+ texts AS (SELECT *, b || ',' || g || ',' || r AS color, CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 128 THEN 'black' ELSE 'white' END AS text_color FROM colors)"""
+
+
 @query(
     "tracked",
-    sql=f"""SELECT {K}, track_id, (CASE WHEN class_name = 'Ball' THEN 'Ball' ELSE split_part(class_name, '_', 2) END) || ' #' || track_id || ' ' || printf('%.2f', confidence) AS caption,
-    CASE WHEN class_name LIKE 'White%' THEN 'black' WHEN class_name LIKE 'Red%' THEN 'white' ELSE 'black' END AS text_color FROM tracked""",
+    sql=f""", {_TEAMS.format(of='tracked')} SELECT {K}, track_id, (CASE WHEN head = 'ball' THEN class_name ELSE substr(class_name, instr(class_name, '_') + 1) END) || ' #' || track_id || ' ' || printf('%.2f', confidence) AS caption,
+    color, text_color FROM tracked JOIN texts USING (class_name)""",
 )
 def team_caption(tracked):
     name = F.col("class_name")
-    return tracked.select(*KEY, "track_id", geo.caption(name, F.col("track_id"), F.col("confidence")).alias("caption"), geo.text_color(geo.team_color(name)).alias("text_color"))
+    color = geo.team_color(name)
+    return tracked.select(*KEY, "track_id", geo.caption(name, F.col("track_id"), F.col("confidence")).alias("caption"), F.array_join(color, ",").alias("color"), geo.text_color(color).alias("text_color"))
+
+
+@query("det", sql=f", {_TEAMS.format(of='det')} SELECT class_name, color, text_color, CASE WHEN head = 'ball' THEN '' ELSE split_part(class_name, '_', 2) END AS jersey FROM texts")
+def text_color(det):
+    name = F.col("class_name")
+    color = geo.team_color(name)
+    return det.select("class_name").distinct().select("class_name", F.array_join(color, ",").alias("color"), geo.text_color(color).alias("text_color"), geo.jersey(name).alias("jersey"))
 
 
 @query("det", sql="SELECT DISTINCT camera_id, '/data/out' || split_part(camera_id, '_', 2) || '.mp4' AS path FROM det")
@@ -253,12 +267,16 @@ def track_summary(pred):
 
 @query(
     "gallery", "det_feat",
-    sql="SELECT g.track_id, d.vec_id AS query_id, round(min(1 - list_dot_product(g.embedding::DOUBLE[], d.embedding::DOUBLE[])), 5) AS distance FROM gallery g JOIN det_feat d ON d.vec_id < 100 GROUP BY ALL",
+    sql="""SELECT t.camera_id, t.frame_index, t.track_id, d.vec_id AS query_id, round(coalesce(min(1 - list_dot_product(g.embedding::DOUBLE[], d.embedding::DOUBLE[])), 1), 5) AS distance
+    FROM (SELECT DISTINCT f.camera_id, f.frame_index, l.track_id FROM gallery f JOIN (SELECT DISTINCT camera_id, track_id FROM gallery) l USING (camera_id)) t
+    JOIN det_feat d ON d.camera_id = t.camera_id AND d.frame_index = t.frame_index
+    LEFT JOIN gallery g ON g.camera_id = t.camera_id AND g.frame_index = t.frame_index AND g.track_id = t.track_id GROUP BY ALL""",
 )
 def appearance_cost(gallery, found):
-    """One frame's detections (the first 50 queries) against all galleries."""
-    one_frame = found.where("vec_id < 100").withColumnRenamed("vec_id", "query_id")
-    return appearance.appearance_cost(gallery, one_frame).withColumn("distance", F.round("distance", 5))
+    """Each frame's detections against the galleries of that frame, of all tracks of the camera."""
+    tracks = gallery.select("camera_id", "frame_index").distinct().join(gallery.select("camera_id", "track_id").distinct(), "camera_id")
+    costs = appearance.appearance_cost(gallery, found.withColumnRenamed("vec_id", "query_id"), tracks)
+    return costs.withColumn("distance", F.round("distance", 5))
 
 
 @query("gallery", sql="SELECT track_id, vec_id FROM gallery QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY vec_id DESC) <= 10")
@@ -298,6 +316,46 @@ def detection_metrics(gt, pred):
     return rows.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "mean_iou")})
 
 
+@query(
+    "gt", "pred",
+    sql=f""", {_PAIRS}, m AS (SELECT camera_id, gt_pos, count(*) AS m FROM pairs WHERE iou >= 0.5 GROUP BY ALL), t AS (SELECT camera_id, gt_pos, count(*) AS t FROM gt GROUP BY ALL),
+ p AS (SELECT camera_id, frame_index // 5 AS gt_pos, count(*) AS p FROM pred GROUP BY ALL)
+ SELECT camera_id, gt_pos, coalesce(m, 0) AS tp, coalesce(p, 0) - coalesce(m, 0) AS fp, t - coalesce(m, 0) AS fn FROM t LEFT JOIN p USING (camera_id, gt_pos) LEFT JOIN m USING (camera_id, gt_pos)""",
+)
+def detection_events_per_frame(gt, pred):
+    return evaluation.frame_events(gt, pred)
+
+
+def _events_sql(truth: str, predicted: str) -> str:
+    """The accumulator's events where each box overlaps one other at most: the pairs are those that overlap by half, and a
+    truth's pair is a switch if its pair before was another one."""
+    return f"""g AS (SELECT *, {truth} AS truth FROM gt), p AS (SELECT *, frame_index // 5 AS gt_pos, {predicted} AS predicted FROM pred),
+ m AS (SELECT g.camera_id, g.gt_pos, g.det_ord AS gt_ord, p.det_ord AS pred_ord, truth, predicted, {_iou('g', 'p', '0')} AS iou FROM g JOIN p ON g.camera_id = p.camera_id AND g.gt_pos = p.gt_pos),
+ e AS (SELECT *, CASE WHEN lag(predicted, 1, predicted) OVER (PARTITION BY camera_id, truth ORDER BY gt_pos) <> predicted THEN 'SWITCH' ELSE 'MATCH' END AS event FROM m WHERE iou >= 0.5),
+ events AS (SELECT camera_id, gt_pos, event, truth, predicted, iou FROM e
+  UNION ALL SELECT camera_id, gt_pos, 'MISS', truth, NULL, NULL FROM g WHERE (camera_id, gt_pos, det_ord) NOT IN (SELECT camera_id, gt_pos, gt_ord FROM e)
+  UNION ALL SELECT camera_id, gt_pos, 'FP', NULL, predicted, NULL FROM p WHERE (camera_id, gt_pos, det_ord) NOT IN (SELECT camera_id, gt_pos, pred_ord FROM e))"""
+
+
+_PLACE = "(row_number() OVER (PARTITION BY camera_id, frame_index ORDER BY det_ord) - 1)::VARCHAR"
+
+
+@query("gt", "pred", sql=f", {_events_sql('class_name', 'track_id::VARCHAR')} SELECT camera_id, gt_pos, event, truth, predicted, round(iou, 6) AS iou FROM events")
+def mot_events(gt, pred):
+    return evaluation.mot_events(gt, pred).withColumn("iou", F.round("iou", 6))
+
+
+@query(
+    "gt", "pred",
+    sql=f""", {_events_sql(_PLACE, _PLACE)}, c AS (SELECT camera_id, count(*) FILTER (WHERE event = 'MATCH') AS tp, count(*) FILTER (WHERE event = 'FP') AS fp, count(*) FILTER (WHERE event = 'MISS') AS fn,
+  count(iou) AS m, avg(iou) AS i FROM events GROUP BY ALL)
+ SELECT camera_id, tp, fp, fn, round(m / (m + fp), 6) AS "precision", round(m / (m + fn), 6) AS recall, round(2 * m / (2 * m + fp + fn), 6) AS f1, round(i, 6) AS mean_iou FROM c""",
+)
+def detection_metrics_sequential(gt, pred):
+    rows = evaluation.detection_metrics(gt, pred, sequential=True)
+    return rows.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "mean_iou")})
+
+
 @query("gt", "pred", sql=f", {_PAIRS} SELECT camera_id, class_name, track_id, count(*) AS frames FROM pairs WHERE iou >= 0.5 GROUP BY ALL")
 def idf1_cooccurrence(gt, pred):
     return evaluation.cooccurrence(evaluation.overlaps(gt, pred))
@@ -344,9 +402,34 @@ def frame_select(det):
     return detections.evenly_spaced(det, 5)
 
 
-@query("pred")
+def _kalman_sql() -> str:
+    """Four filters of a position and a velocity (axes 0 to 3: centre, aspect, height), as a recursion over a track's detections."""
+    axes = range(4)
+    of = lambda text: ", ".join(text(i) for i in axes)
+    noise = lambda h, scale, aspect: lambda i: f"({aspect} * {aspect})" if i == 2 else f"({h} * {scale} * {h} * {scale})"
+    q_p, q_v = noise("k.p3", "(1.0 / 20)", "1e-2"), noise("k.p3", "(1.0 / 160)", "1e-5")
+    r = noise("p3", "(1.0 / 20)", "1e-1")
+    start_p, start_v = noise("z3", "(2.0 / 20)", "1e-2"), noise("z3", "(10.0 / 160)", "1e-5")
+    key = "camera_id, track_id, frame_index, rn"
+    first = f"SELECT {key}, " + of(lambda i: f"z{i} AS p{i}, 0.0::DOUBLE AS v{i}, ({start_p(i)})::DOUBLE AS pp{i}, 0.0::DOUBLE AS pv{i}, ({start_v(i)})::DOUBLE AS vv{i}") + " FROM m WHERE rn = 1"
+    ahead = "SELECT m.camera_id, m.track_id, m.frame_index, m.rn, " + of(
+        lambda i: f"z{i}, k.p{i} + k.v{i} AS p{i}, k.v{i} AS v{i}, k.pp{i} + 2 * k.pv{i} + k.vv{i} + {q_p(i)} AS pp{i}, k.pv{i} + k.vv{i} AS pv{i}, k.vv{i} + {q_v(i)} AS vv{i}"
+    ) + " FROM k JOIN m ON m.camera_id = k.camera_id AND m.track_id = k.track_id AND m.rn = k.rn + 1"
+    gain = f"SELECT *, " + of(lambda i: f"pp{i} + {r(i)} AS s{i}, z{i} - p{i} AS y{i}") + f" FROM ({ahead})"  # noqa: F541
+    after = f"SELECT {key}, " + of(
+        lambda i: f"p{i} + pp{i} / s{i} * y{i}, v{i} + pv{i} / s{i} * y{i}, pp{i} - pp{i} * pp{i} / s{i}, pv{i} - pp{i} * pv{i} / s{i}, vv{i} - pv{i} * pv{i} / s{i}"
+    ) + f" FROM ({gain})"
+    names = ("cx", "cy", "a", "h")
+    return f"""RECURSIVE , m AS (SELECT camera_id, track_id, frame_index, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_index) AS rn,
+  x1 + (x2 - x1) / 2 AS z0, y1 + (y2 - y1) / 2 AS z1, (x2 - x1) / greatest(y2 - y1, 1e-6) AS z2, y2 - y1 AS z3 FROM pred),
+ k AS ({first} UNION ALL {after})
+ SELECT camera_id, track_id, frame_index, """ + of(lambda i: f"round(p{i}, 4) + 0.0 AS {names[i]}, round(v{i}, 4) + 0.0 AS v{'xyah'[i]}") + " FROM k"
+
+
+@query("pred", sql=_kalman_sql())
 def kalman_track(pred):
-    return trackers.kalman_path(pred)
+    rows = trackers.kalman_path(pred)
+    return rows.withColumns({c: F.round(c, 4) + 0.0 for c in ("cx", "cy", "a", "h", "vx", "vy", "va", "vh")})
 
 
 def _frames(det):
@@ -366,19 +449,69 @@ def deepsort_tracks(det, embeddings):
     return trackers.track(det, _frames(det), features)
 
 
-@query("gt", "pred")
-def mot_events(gt, pred):
-    return evaluation.mot_events(gt, pred)
+def _pairs_of(pred: str, n: str) -> str:
+    return f"""pairs{n} AS (SELECT g.camera_id, g.gt_pos, g.class_name, p.track_id, {_iou('g', 'p', '0')} AS iou FROM gt g JOIN {pred} p ON g.camera_id = p.camera_id AND p.frame_index = g.gt_pos * 5),
+ cp{n} AS (SELECT camera_id, track_id, count(*) AS cp FROM {pred} GROUP BY ALL), ct{n} AS (SELECT camera_id, class_name, count(*) AS ct FROM gt GROUP BY ALL),
+ size{n} AS (SELECT camera_id, t, coalesce(p, 0) AS p FROM (SELECT camera_id, count(*) AS t FROM gt GROUP BY ALL) LEFT JOIN (SELECT camera_id, count(*) AS p FROM {pred} GROUP BY ALL) USING (camera_id))"""
+
 
+def _identity_sql(pred: str, n: str = "") -> str:
+    """A track of these predictions overlaps boxes of one class alone, so each class takes its longest track."""
+    return f"""{_pairs_of(pred, n)}, best{n} AS (SELECT camera_id, class_name, max(n) AS n FROM (SELECT camera_id, class_name, track_id, count(*) AS n FROM pairs{n} WHERE iou >= 0.5 GROUP BY ALL) GROUP BY ALL),
+ ids{n} AS (SELECT camera_id, idtp, p - idtp AS idfp, t - idtp AS idfn, idtp / p AS idp, idtp / t AS idr, 2 * idtp / (t + p) AS idf1 FROM size{n} JOIN (SELECT camera_id, sum(n)::BIGINT AS idtp FROM best{n} GROUP BY ALL) USING (camera_id))"""
 
-@query("gt", "pred")
+
+def _hota_sql(pred: str, n: str = "") -> str:
+    """Boxes of these views overlap one other at most, so all pairs that overlap are a frame's assignment."""
+    return f"""{_pairs_of(pred, n)}, alphas{n} AS (SELECT unnest(range(1, 20)) / 20.0::DOUBLE AS alpha),
+ runs{n} AS (SELECT camera_id, alpha, class_name, track_id, count(*) AS m, sum(iou) AS near FROM pairs{n}, alphas{n} WHERE iou > 0 AND iou >= alpha - 2.3e-16 GROUP BY ALL),
+ ass{n} AS (SELECT camera_id, alpha, sum(m)::BIGINT AS tp, sum(near) AS near, sum(m * m / (ct + cp - m)) AS ass FROM runs{n} JOIN ct{n} USING (camera_id, class_name) JOIN cp{n} USING (camera_id, track_id) GROUP BY ALL),
+ levels{n} AS (SELECT camera_id, alpha, coalesce(tp, 0) AS tp, coalesce(ass, 0) / greatest(1, coalesce(tp, 0)) AS assa, coalesce(tp, 0) / greatest(1, t + p - coalesce(tp, 0)) AS deta,
+  greatest(1e-10, coalesce(near, 0)) / greatest(1e-10, coalesce(tp, 0)) AS loca FROM size{n} CROSS JOIN alphas{n} LEFT JOIN ass{n} USING (camera_id, alpha)),
+ hota{n} AS (SELECT camera_id, avg(sqrt(assa * deta)) AS hota, avg(deta) AS deta, avg(assa) AS assa, avg(loca) AS loca FROM levels{n} GROUP BY ALL)"""
+
+
+@query("gt", "pred", sql=f", {_identity_sql('pred')} SELECT camera_id, idtp, idfp, idfn, round(idp, 6) AS idp, round(idr, 6) AS idr, round(idf1, 6) AS idf1 FROM ids")
 def idf1(gt, pred):
-    return evaluation.identity_metrics(gt, pred)
+    return evaluation.identity_metrics(gt, pred).withColumns({c: F.round(c, 6) for c in ("idp", "idr", "idf1")})
 
 
-@query("gt", "pred")
+@query("gt", "pred", sql=f", {_hota_sql('pred')} SELECT camera_id, round(hota, 6) AS hota, round(deta, 6) AS deta, round(assa, 6) AS assa, round(loca, 6) AS loca FROM hota")
 def hota(gt, pred):
-    return evaluation.hota(gt, pred)
+    return evaluation.hota(gt, pred).select("camera_id", *(F.round(c, 6).alias(c) for c in ("hota", "deta", "assa", "loca")))
+
+
+@query(
+    "gt", "pred",
+    sql=f", {_hota_sql('pred')} SELECT camera_id, round(alpha, 2) AS alpha, tp, round(sqrt(assa * deta), 6) AS hota, round(deta, 6) AS deta, round(assa, 6) AS assa, round(loca, 6) AS loca FROM levels",
+)
+def hota_alpha_counts(gt, pred):
+    rows = evaluation.hota_by_alpha(gt, pred)
+    return rows.select("camera_id", F.round("alpha", 2).alias("alpha"), "tp", *(F.round(c, 6).alias(c) for c in ("hota", "deta", "assa", "loca")))
+
+
+_HALF = "half AS (SELECT * FROM pred WHERE track_id % 2 = 0)"
+
+
+@query(
+    "gt", "pred",
+    sql=f", {_HALF}, {_identity_sql('pred')}, {_identity_sql('half', '_h')} "
+    + " UNION ALL ".join(f"SELECT '{m}' AS method, camera_id, idtp, idfp, idfn, round(idp, 3) AS idp, round(idr, 3) AS idr, round(idf1, 3) AS idf1 FROM {t}" for m, t in (("all", "ids"), ("half", "ids_h"))),
+)
+def identity_table(gt, pred):
+    """Two trackers by camera, as the tables show them."""
+    results = {"all": evaluation.identity_metrics(gt, pred), "half": evaluation.identity_metrics(gt, pred.where("track_id % 2 = 0"))}
+    return evaluation.metric_tables(results, 3, "idtp", "idfp", "idfn", "idp", "idr", "idf1")
+
+
+@query(
+    "gt", "pred",
+    sql=f", {_HALF}, {_hota_sql('pred')}, {_hota_sql('half', '_h')} "
+    + " UNION ALL ".join(f"SELECT '{m}' AS method, camera_id, round(hota, 3) AS hota, round(deta, 3) AS deta, round(assa, 3) AS assa, round(loca, 3) AS loca FROM {t}" for m, t in (("all", "hota"), ("half", "hota_h"))),
+)
+def hota_table(gt, pred):
+    results = {"all": evaluation.hota(gt, pred), "half": evaluation.hota(gt, pred.where("track_id % 2 = 0"))}
+    return evaluation.metric_tables(results, 3, "hota", "deta", "assa", "loca")
 
 
 @query(
@@ -393,3 +526,117 @@ def metrics_table(gt, pred):
     parts = [evaluation.detection_metrics(gt, p).withColumn("method", F.lit(m)) for m, p in (("predictions", pred), ("truth", same))]
     rows = parts[0].unionByName(parts[1])
     return rows.select("method", "camera_id", *(F.round(c, 3).alias(c) for c in ("precision", "recall", "f1"))).orderBy("method", "camera_id")
+
+
+_NAMES = {k: f"class_{k}" for k in range(11)}
+
+
+@query(
+    "raw",
+    sql=f"SELECT 'yolo' AS source, {K}, x1, y1, x2, y2, printf('%.3f', confidence)::DOUBLE AS confidence, class_id, 'class_' || class_id AS class_name FROM raw",
+)
+def detector_rows(raw):
+    """What a detector returns, a list of boxes a frame, as detections."""
+    box = F.struct("det_ord", F.struct(*COORDS, "confidence", "class_id").alias("b"))
+    nested = raw.groupBy("camera_id", "frame_index").agg(F.transform(F.array_sort(F.collect_list(box)), lambda x: x["b"]).alias("boxes"))
+    return detections.from_detector(nested, _NAMES)
+
+
+@query("det", sql="SELECT camera_id, frame_index, det_ord FROM det WHERE class_id IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)")
+def player_classes(det):
+    return detections.with_classes(det, detections.player_classes(_NAMES)).select(*KEY)
+
+
+@query("tracked", sql="SELECT camera_id, track_id, class_name, sum(round(confidence * 1000)::BIGINT)::BIGINT AS milli, count(*) AS n FROM tracked GROUP BY ALL")
+def label_votes(tracked):
+    return labels.votes(tracked).select("camera_id", "track_id", "class_name", "milli", "n")
+
+
+@query("tracked", sql="SELECT camera_id, track_id, string_agg(DISTINCT class_name, ',' ORDER BY class_name) AS labels FROM tracked GROUP BY ALL")
+def label_sets(tracked):
+    return labels.label_sets(tracked).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("tracked", sql="SELECT camera_id, count(DISTINCT track_id) AS tracks, count(*) AS detections FROM tracked GROUP BY ALL")
+def track_counts(tracked):
+    return labels.counts(tracked)
+
+
+@query(
+    "coco_categories", "coco_images", "coco_annotations",
+    sql=f"{_COCO} SELECT camera_id, frame_index, count(*) AS n, row_number() OVER (PARTITION BY camera_id ORDER BY frame_index) - 1 AS gt_pos FROM truth GROUP BY camera_id, frame_index",
+)
+def gt_rebase(categories, images, found):
+    """Frames numbered from a camera's first one, and their places among the annotated frames."""
+    rows = annotations.coco_to_truth(categories, images, found)
+    return annotations.with_place(rows).groupBy("camera_id", "frame_index", "gt_pos").agg(F.count("*").alias("n"))
+
+
+_PLACED = """f AS (SELECT camera_id, frame_index, row_number() OVER (PARTITION BY camera_id ORDER BY frame_index) - 1 AS pos, count(*) OVER (PARTITION BY camera_id) AS n FROM (SELECT DISTINCT camera_id, frame_index FROM {of}))"""
+
+
+@query(
+    "det",
+    sql=f""", {_PLACED.format(of='det')} SELECT 'default' AS choice, camera_id, i AS place, frame_index FROM f JOIN (SELECT unnest([0, 1, 2]) AS i) ON pos = CASE i WHEN 0 THEN 0 WHEN 1 THEN n // 2 ELSE n - 1 END
+ UNION ALL SELECT 'given', camera_id, i, frame_index FROM f JOIN (VALUES (0, 4), (1, 2), (2, 4)) v(i, spot) ON pos = spot""",
+)
+def frame_choice(det):
+    given = [("default", detections.choose_frames(det)), ("given", detections.choose_frames(det, indexes=[4, 2, 4]))]
+    parts = [rows.select(F.lit(name).alias("choice"), "camera_id", "place", "frame_index") for name, rows in given]
+    return parts[0].unionByName(parts[1])
+
+
+@query("det", sql=f"SELECT {K}, class_name FROM det WHERE det_ord < 5")
+def first_of_frame(det):
+    return detections.first_of_frame(det).select(*KEY, "class_name")
+
+
+@query(
+    "det", "pred",
+    sql=f", {_PLACED.format(of='det')}, {_PLACED.format(of='pred').replace('f AS', 'g AS', 1)} SELECT f.camera_id, f.pos AS place, f.frame_index AS left_frame, g.frame_index AS right_frame FROM f JOIN g USING (camera_id, pos)",
+)
+def frame_zip(det, pred):
+    """Frames paired by place, as far as both tables go."""
+    return detections.zip_frames(det, pred)
+
+
+@query(
+    "det",
+    sql="SELECT channel, floor(v)::INT AS bin, count(*) AS n FROM (SELECT 'blue' AS channel, x1 AS v FROM det UNION ALL SELECT 'green', y1 FROM det UNION ALL SELECT 'red', y2 FROM det) WHERE floor(v) BETWEEN 0 AND 255 GROUP BY ALL",
+)
+def channel_histograms(det):
+    return detections.channel_histograms(det, {"blue": F.col("x1"), "green": F.col("y1"), "red": F.col("y2")})
+
+
+@query(
+    "pixels",
+    sql="""RECURSIVE , n AS (SELECT a.x, a.y, b.x AS bx, b.y AS by_ FROM pixels a JOIN pixels b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+ reach AS (SELECT x, y, y * 40 + x AS seed FROM pixels UNION SELECT n.bx, n.by_, r.seed FROM reach r JOIN n ON n.x = r.x AND n.y = r.y WHERE r.seed < n.by_ * 40 + n.bx),
+ l AS (SELECT x, y, min(seed) AS seed FROM reach GROUP BY x, y)
+ SELECT x, y FROM l WHERE seed IN (SELECT seed FROM l GROUP BY seed HAVING count(*) BETWEEN 5 AND 200)""",
+)
+def area_filter(pixels):
+    """The pixels of blobs whose area is within bounds."""
+    return masks.refine(masks.components(pixels), 5, 200).select("x", "y")
+
+
+@query("customer", sql="SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 255 ELSE 0 END AS value FROM customer")
+def shadow_suppression(customer):
+    """Mask values of 127 are shadows, which count as background."""
+    value = F.element_at(F.array(F.lit(0), F.lit(127), F.lit(255)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return customer.select("c_custkey", masks.without_shadows(value).alias("value"))
+
+
+def _shift(of: str) -> str:
+    return f"SELECT DISTINCT s.x + dx AS x, s.y + dy AS y FROM {of} s, k"
+
+
+@query(
+    "pixels",
+    sql=f""", k(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)), dom AS (SELECT x, y FROM (SELECT unnest(range(40)) AS x), (SELECT unnest(range((SELECT max(y) + 1 FROM pixels))) AS y)),
+ on0 AS (SELECT x, y FROM pixels), off0 AS (FROM dom EXCEPT FROM on0), on1 AS (FROM dom EXCEPT ({_shift('off0')})), on2 AS (FROM dom INTERSECT ({_shift('on1')})),
+ on3 AS (FROM dom INTERSECT ({_shift('on2')})), off3 AS (FROM dom EXCEPT FROM on3) SELECT x::BIGINT AS x, y::BIGINT AS y FROM (FROM dom EXCEPT ({_shift('off3')}))""",
+)
+def opening_closing(pixels):
+    """Specks out, gaps filled, by crosses of three pixels."""
+    return masks.opened_closed(pixels, 40, opening=3, closing=3).select("x", "y")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import COORDS, EPSILON
 
 #: Team colours (blue, green, red) by the head of a class name, and the colour of any other.
-TEAM_COLORS = {"ball": (0, 165, 255), "red": (0, 0, 255), "white": (255, 255, 255), "referee": (0, 255, 255)}
+TEAM_COLORS = {"ball": (0, 255, 255), "red": (0, 0, 255), "white": (255, 255, 255), "referee": (0, 165, 255)}
 OTHER_COLOR = (128, 128, 128)
 
 
@@ -78,16 +78,22 @@ def text_color(color: Column) -> Column:
     return F.when(luminance > 128, F.lit("black")).otherwise(F.lit("white"))
 
 
-def two_places(value: Column) -> Column:
-    """A value from 0 up with two decimals, rounded by its exact binary value: where the
-    third decimal is a 5, the exact error of value * 1000 (by splitting the factor) decides."""
-    milli = F.round(value * 1000).cast("long")
+def units(value: Column, places: int) -> Column:
+    """How many units of the last of `places` decimals a value from 0 up is, rounded by its exact binary value: where
+    one decimal more is a 5, the exact error of that product (by splitting the factor) decides, and a true half goes to even."""
+    scale = float(10 ** (places + 1))
+    fine = F.round(value * scale).cast("long")
     split = value * 134217729.0
     high = split - (split - value)
-    over = (high * 1000.0 - milli.cast("double")) + (value - high) * 1000.0
-    cents = F.floor(milli / 10)
-    up = (over > 0) | ((over == 0) & (cents % 2 == 1))
-    cents = F.when(milli % 10 == 5, cents + up.cast("long")).otherwise(F.floor((milli + 5) / 10))
+    over = (high * scale - fine.cast("double")) + (value - high) * scale
+    coarse = F.floor(fine / 10)
+    up = (over > 0) | ((over == 0) & (coarse % 2 == 1))
+    return F.when(fine % 10 == 5, coarse + up.cast("long")).otherwise(F.floor((fine + 5) / 10))
+
+
+def two_places(value: Column) -> Column:
+    """A value from 0 up with two decimals."""
+    cents = units(value, 2)
     return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 

@@ -2,20 +2,25 @@
 
 Ground-truth frames align by position: the k-th annotated frame of a camera meets the
 prediction frame k * stride; predictions elsewhere are not judged. Overlaps are joined by
-(camera, frame) with the box predicate as the residual of the equi-join. What is
-left to Python are the one-to-one assignments of a frame or of a camera's identities.
+(camera, frame) with the box predicate as the residual of the equi-join. A pair whose boxes overlap
+nothing else is assigned as it is; what is left to Python are the one-to-one assignments of frames where
+boxes contend, of a camera's identities, and the accumulator, which goes through a camera's frames in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import iou
 from ..schema import COORDS
 from .assignment import assign, gated
+from .runs import spans, whole_runs
 from .trackers import iou_matrix
 
 ALPHAS = [k / 20 for k in range(1, 20)]
@@ -29,72 +34,127 @@ def frame_pairs(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE)
     return a.join(b, ["camera_id", "frame_index"], "left").select("camera_id", "gt_pos", "frame_index", "n_truth", F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"))
 
 
+def on_truth(predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """The predictions of frames that an annotated frame may meet, with its gt_pos."""
+    return predictions.where(F.col("frame_index") % stride == 0).withColumn("gt_pos", (F.col("frame_index") / stride).cast("bigint"))
+
+
 def overlaps(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Pairs of boxes of a frame that overlap: camera_id, gt_pos, gt_ord, class_name, pred_ord, track_id, iou."""
-    a = truth.select("camera_id", (F.col("gt_pos") * stride).alias("frame_index"), "gt_pos", F.col("det_ord").alias("gt_ord"), "class_name", *(F.col(c).alias(f"g{c}") for c in COORDS))
-    b = predictions.select("camera_id", "frame_index", F.col("det_ord").alias("pred_ord"), "track_id", *(F.col(c).alias(f"p{c}") for c in COORDS))
+    a = truth.select("camera_id", "gt_pos", F.col("det_ord").alias("gt_ord"), "class_name", *(F.col(c).alias(f"g{c}") for c in COORDS))
+    b = on_truth(predictions, stride).select("camera_id", "gt_pos", F.col("det_ord").alias("pred_ord"), "track_id", *(F.col(c).alias(f"p{c}") for c in COORDS))
     side = lambda k: [F.col(k + c) for c in COORDS]
-    pairs = a.join(b, ["camera_id", "frame_index"]).withColumn("iou", iou(side("g"), side("p"), 0.0))
+    pairs = a.join(b, ["camera_id", "gt_pos"]).withColumn("iou", iou(side("g"), side("p"), 0.0))
     return pairs.where("iou > 0").select("camera_id", "gt_pos", "gt_ord", "class_name", "pred_ord", "track_id", "iou")
 
 
+def _assigned(pairs: DataFrame, assign_frame: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """The one-to-one pairs of each frame: those that contend with no other as they are, the rest by assign_frame."""
+    frame = ["camera_id", "gt_pos"]
+    alone = (F.count("*").over(Window.partitionBy(*frame, "gt_ord")) == 1) & (F.count("*").over(Window.partitionBy(*frame, "pred_ord")) == 1)
+    marked = pairs.withColumn("_alone", alone)
+    rest = marked.where("NOT _alone").drop("_alone").groupBy(*frame).applyInPandas(assign_frame, pairs.schema)
+    return marked.where("_alone").drop("_alone").unionByName(rest)
+
+
 def matches(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The assignment of each frame: most pairs at the threshold or above, then the largest overlap."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, columns = np.unique(pdf.gt_ord), np.unique(pdf.pred_ord)
-        far = np.ones((len(rows), len(columns)))
+        far = np.full((len(rows), len(columns)), 2.0)
         far[np.searchsorted(rows, pdf.gt_ord), np.searchsorted(columns, pdf.pred_ord)] = 1 - pdf["iou"]
-        hit = pd.DataFrame([(rows[r], columns[c]) for r, c in gated(far, far <= 1 - threshold + 1e-12, 1.0)], columns=["gt_ord", "pred_ord"])
+        hit = pd.DataFrame([(rows[r], columns[c]) for r, c in gated(far, far <= 1, 1.0)], columns=["gt_ord", "pred_ord"])
         return pdf.merge(hit, on=["gt_ord", "pred_ord"])
 
-    return pairs.groupBy("camera_id", "gt_pos").applyInPandas(run, pairs.schema)
+    return _assigned(pairs.where(1 - F.col("iou") <= F.lit(1 - threshold + 1e-12)), run)
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def detection_metrics(truth: DataFrame, predictions: DataFrame, threshold: float = THRESHOLD, stride: int = STRIDE) -> DataFrame:
-    """By camera: tp, fp, fn, precision, recall, f1, mean_iou; each frame assigned by itself."""
-    totals = frame_pairs(truth, predictions, stride).groupBy("camera_id").agg(F.sum("n_truth").alias("t"), F.sum("n_predicted").alias("p"))
-    hit = matches(overlaps(truth, predictions, stride), threshold).groupBy("camera_id").agg(F.count("*").alias("m"), F.avg("iou").alias("mean_iou"))
-    rows = totals.join(hit, "camera_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    precision, recall = ratio(F.col("m"), F.col("p")), ratio(F.col("m"), F.col("t"))
+def frame_events(truth: DataFrame, predictions: DataFrame, threshold: float = THRESHOLD, stride: int = STRIDE) -> DataFrame:
+    """camera_id, gt_pos, tp, fp, fn of each annotated frame, assigned by itself."""
+    hit = matches(overlaps(truth, predictions, stride), threshold).groupBy("camera_id", "gt_pos").agg(F.count("*").alias("tp"))
+    rows = frame_pairs(truth, predictions, stride).join(hit, ["camera_id", "gt_pos"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    return rows.select("camera_id", "gt_pos", "tp", (F.col("n_predicted") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))
+
+
+def detection_metrics(truth: DataFrame, predictions: DataFrame, threshold: float = THRESHOLD, stride: int = STRIDE, sequential: bool = False) -> DataFrame:
+    """By camera: tp, fp, fn, precision, recall, f1, mean_iou; each frame assigned by itself, or, sequential, by the
+    accumulator with places in the frames' lists as identities, where a switch is detected but no tp."""
+    if sequential:
+        events = mot_events(truth, predictions, threshold, stride, identities=False)
+        of = lambda *kinds: F.sum(F.col("event").isin(*kinds).cast("long"))
+        rows = events.groupBy("camera_id").agg(of("MATCH").alias("tp"), of("FP").alias("fp"), of("MISS").alias("fn"), of("MATCH", "SWITCH").alias("m"), F.avg("iou").alias("mean_iou"))
+        precision, recall = ratio(F.col("m"), F.col("m") + F.col("fp")), ratio(F.col("m"), F.col("m") + F.col("fn"))
+    else:
+        totals = frame_pairs(truth, predictions, stride).groupBy("camera_id").agg(F.sum("n_truth").alias("t"), F.sum("n_predicted").alias("p"))
+        hit = matches(overlaps(truth, predictions, stride), threshold).groupBy("camera_id").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"))
+        rows = totals.join(hit, "camera_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+        rows = rows.withColumns({"fp": F.col("p") - F.col("tp"), "fn": F.col("t") - F.col("tp")})
+        precision, recall = ratio(F.col("tp"), F.col("p")), ratio(F.col("tp"), F.col("t"))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return rows.select("camera_id", F.col("m").alias("tp"), (F.col("p") - F.col("m")).alias("fp"), (F.col("t") - F.col("m")).alias("fn"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "mean_iou")
-
-
-def mot_events(truth: DataFrame, predictions: DataFrame, threshold: float = THRESHOLD, stride: int = STRIDE) -> DataFrame:
-    """The sequential accumulator: a pair of the frame before is kept while it overlaps enough, the
-    rest is assigned; a ground-truth object whose prediction changed is a SWITCH, else a MATCH."""
-    a = truth.select("camera_id", "gt_pos", F.lit(True).alias("is_truth"), F.col("class_name").alias("identity"), *COORDS)
-    b = predictions.where(F.col("frame_index") % stride == 0).select("camera_id", (F.col("frame_index") / stride).cast("long").alias("gt_pos"), F.lit(False).alias("is_truth"), F.col("track_id").cast("string").alias("identity"), *COORDS)
-    frames = truth.select("camera_id", "gt_pos").distinct()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], {}
-        for pos, frame in pdf.sort_values(["gt_pos", "is_truth", "identity"]).groupby("gt_pos"):
-            g, p = frame[frame.is_truth], frame[~frame.is_truth]
-            near = iou_matrix(g[list(COORDS)].to_numpy(float), p[list(COORDS)].to_numpy(float), 0.0)
-            gi, pi = g.identity.to_list(), p.identity.to_list()
-            pairs = [(r, pi.index(last[x])) for r, x in enumerate(gi) if x in last and last[x] in pi and near[r, pi.index(last[x])] >= threshold]
-            rows = [r for r in range(len(gi)) if r not in {x for x, _ in pairs}]
-            columns = [c for c in range(len(pi)) if c not in {x for _, x in pairs}]
-            rest = 1 - near[np.ix_(rows, columns)]
-            pairs += [(rows[r], columns[c]) for r, c in gated(rest, rest <= 1 - threshold + 1e-12, 1.0)]
-            for r, c in pairs:
-                out.append((pos, "SWITCH" if last.get(gi[r], pi[c]) != pi[c] else "MATCH", gi[r], pi[c], float(near[r, c])))
-                last[gi[r]] = pi[c]
-            out += [(pos, "MISS", x, None, None) for r, x in enumerate(gi) if r not in {q for q, _ in pairs}]
-            out += [(pos, "FP", None, x, None) for c, x in enumerate(pi) if c not in {q for _, q in pairs}]
-        res = pd.DataFrame(out, columns=["gt_pos", "event", "truth", "predicted", "iou"])
-        res.insert(0, "camera_id", pdf.camera_id.iloc[0])
-        return res
-
-    return a.unionByName(b.join(frames, ["camera_id", "gt_pos"], "left_semi")).groupBy("camera_id").applyInPandas(
-        run, "camera_id string, gt_pos bigint, event string, truth string, predicted string, iou double"
-    )
+    return rows.select("camera_id", "tp", "fp", "fn", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "mean_iou")
+
+
+class Accumulator:
+    """One camera's pairs, frame by frame: what a truth was matched to last is kept while it overlaps enough
+    and no other truth has it; the rest is assigned."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.last = threshold, {}
+
+    def step(self, truths: list, predicted: list, near: np.ndarray) -> list[tuple]:
+        """(event, truth, predicted, overlap) of a frame; a truth whose prediction is another than before is a SWITCH."""
+        allowed = 1 - near <= 1 - self.threshold + 1e-12
+        place, pairs, used = {x: c for c, x in reversed(list(enumerate(predicted)))}, [], set()
+        for r, x in enumerate(truths):
+            c = place.get(self.last[x]) if x in self.last else None
+            if c is not None and c not in used and allowed[r, c]:
+                pairs.append((r, c))
+                used.add(c)
+        held = {r for r, _ in pairs}
+        rows, columns = [r for r in range(len(truths)) if r not in held], [c for c in range(len(predicted)) if c not in used]
+        at = np.ix_(rows, columns)
+        pairs += [(rows[r], columns[c]) for r, c in gated(1 - near[at], allowed[at], 1.0)]
+        out = []
+        for r, c in pairs:
+            out.append(("SWITCH" if self.last.get(truths[r], predicted[c]) != predicted[c] else "MATCH", truths[r], predicted[c], float(near[r, c])))
+            self.last[truths[r]] = predicted[c]
+        held, used = {r for r, _ in pairs}, {c for _, c in pairs}
+        out += [("MISS", x, None, None) for r, x in enumerate(truths) if r not in held]
+        return out + [("FP", None, x, None) for c, x in enumerate(predicted) if c not in used]
+
+
+def mot_events(truth: DataFrame, predictions: DataFrame, threshold: float = THRESHOLD, stride: int = STRIDE, identities: bool = True) -> DataFrame:
+    """The accumulator's events: camera_id, gt_pos, event (MATCH, SWITCH, MISS, FP), truth, predicted, iou. Identities are
+    class names and track ids, or, without, the places in a frame's lists. A camera's frames come in order, a batch at a time."""
+    frame = ["camera_id", "gt_pos"]
+    place = (F.row_number().over(Window.partitionBy(*frame).orderBy("det_ord")) - 1).cast("string")
+    frames = truth.select(*frame).distinct()
+    a = truth.select(*frame, F.lit(0).alias("side"), "det_ord", (F.col("class_name") if identities else place).alias("identity"), *COORDS)
+    b = on_truth(predictions, stride).join(frames, frame, "left_semi")
+    b = b.select(*frame, F.lit(1).alias("side"), "det_ord", (F.col("track_id").cast("string") if identities else place).alias("identity"), *COORDS)
+    rows = a.unionByName(b).repartition("camera_id").sortWithinPartitions("camera_id", "gt_pos", "side", "det_ord")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
+        for pdf in whole_runs(batches, *frame):
+            out = []
+            camera, pos, side = (pdf[c].to_numpy() for c in ("camera_id", "gt_pos", "side"))
+            boxes, names = pdf[list(COORDS)].to_numpy(float), pdf.identity.to_list()
+            # A frame changes with its place, or with its camera where two cameras' frames meet.
+            for lo, hi in spans(np.stack([pd.factorize(camera)[0], pos], axis=1).view("i8,i8").ravel()):
+                if camera[lo] != now:
+                    now, held = camera[lo], Accumulator(threshold)
+                cut = lo + int((side[lo:hi] == 0).sum())
+                near = iou_matrix(boxes[lo:cut], boxes[cut:hi], 0.0)
+                out += [(now, int(pos[lo]), *e) for e in held.step(names[lo:cut], names[cut:hi], near)]
+            yield pd.DataFrame(out, columns=["camera_id", "gt_pos", "event", "truth", "predicted", "iou"])
+
+    return rows.mapInPandas(run, "camera_id string, gt_pos bigint, event string, truth string, predicted string, iou double")
 
 
 def cooccurrence(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,8 +163,7 @@ def cooccurrence(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def judged(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
     """The predictions on annotated frames."""
-    frames = truth.select("camera_id", (F.col("gt_pos") * stride).alias("frame_index")).distinct()
-    return predictions.join(frames, ["camera_id", "frame_index"], "left_semi")
+    return on_truth(predictions, stride).join(truth.select("camera_id", "gt_pos"), ["camera_id", "gt_pos"], "left_semi").select(*predictions.columns)
 
 
 def totals(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
@@ -127,9 +186,9 @@ def identity_metrics(truth: DataFrame, predictions: DataFrame, threshold: float
     return rows.select("camera_id", "idtp", (p - tp).alias("idfp"), (t - tp).alias("idfn"), ratio(tp, p).alias("idp"), ratio(tp, t).alias("idr"), ratio(2 * tp, t + p).alias("idf1"))
 
 
-def hota(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """By camera: hota, deta, assa, loca, each the mean over ALPHAS, and the arrays by alpha."""
-    pairs = overlaps(truth, predictions, stride).select("camera_id", "gt_pos", "class_name", "track_id", "iou")
+def hota_by_alpha(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """By camera and alpha: tp, hota, deta, assa, loca."""
+    pairs = overlaps(truth, predictions, stride)
     counts_t = truth.groupBy("camera_id", "class_name").agg(F.count("*").alias("count_t"))
     counts_p = judged(truth, predictions, stride).groupBy("camera_id", "track_id").agg(F.count("*").alias("count_p"))
     # How well two identities agree over the whole sequence, from each frame's normalised overlaps.
@@ -149,7 +208,7 @@ def hota(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> Data
         return pdf[[(r, c) in hit for r, c in zip(rows[0], columns[0], strict=True)]]
 
     both = pairs.join(aligned, ["camera_id", "class_name", "track_id"])
-    chosen = both.groupBy("camera_id", "gt_pos").applyInPandas(run, both.schema)
+    chosen = _assigned(both, run)
     at = chosen.withColumn("alpha", F.explode(F.array(*(F.lit(a) for a in ALPHAS)))).where(F.col("iou") >= F.col("alpha") - 2.3e-16)
     by_pair = at.groupBy("camera_id", "alpha", "class_name", "track_id").agg(F.count("*").alias("m"), F.sum("iou").alias("near"), F.first("count_t").alias("count_t"), F.first("count_p").alias("count_p"))
     by_alpha = by_pair.groupBy("camera_id", "alpha").agg(
@@ -165,6 +224,21 @@ def hota(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> Data
             "loca": F.greatest(F.lit(1e-10), F.col("near")) / F.greatest(F.lit(1e-10), F.col("tp").cast("double")),
         }
     ).withColumn("hota", F.sqrt(F.col("assa") * F.col("deta")))
-    names = ["hota", "deta", "assa", "loca"]
+    return rows.select("camera_id", "alpha", "tp", "hota", "deta", "assa", "loca")
+
+
+def hota(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """By camera: hota, deta, assa, loca, each the mean over ALPHAS, and the arrays by alpha."""
+    rows, names = hota_by_alpha(truth, predictions, stride), ["hota", "deta", "assa", "loca"]
     listed = rows.groupBy("camera_id").agg(F.sort_array(F.collect_list(F.struct("alpha", *names))).alias("a"), *(F.avg(n).alias(n) for n in names))
     return listed.select("camera_id", *names, *(F.col("a")[n].alias(f"{n}_alpha") for n in names))
+
+
+def metric_tables(results: dict[str, DataFrame], places: int, *columns: str) -> DataFrame:
+    """The results of several methods as a table: method, camera_id, counts as they are and other columns rounded; sorted."""
+    out = None
+    for method, rows in results.items():
+        kinds = dict(rows.dtypes)
+        part = rows.select(F.lit(method).alias("method"), "camera_id", *((F.round(c, places) if kinds[c] == "double" else F.col(c)).alias(c) for c in columns))
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("method", "camera_id")

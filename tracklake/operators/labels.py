@@ -69,3 +69,13 @@ def resolve(tracks: DataFrame) -> DataFrame:
 
 def multi_label(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("camera_id", "track_id").agg(F.count_distinct("class_name").alias("labels")).where("labels > 1")
+
+
+def label_sets(tracks: DataFrame) -> DataFrame:
+    """The labels of each track, sorted."""
+    return tracks.groupBy("camera_id", "track_id").agg(F.array_sort(F.collect_set("class_name")).alias("labels"))
+
+
+def counts(tracks: DataFrame) -> DataFrame:
+    """By camera: distinct tracks and detections."""
+    return tracks.groupBy("camera_id").agg(F.count_distinct("track_id").alias("tracks"), F.count("*").alias("detections"))

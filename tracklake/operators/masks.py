@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,24 +33,31 @@ def open_close(mask: np.ndarray, opening: int = 7, closing: int = 11) -> np.ndar
 
 
 def label(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 8-connected on-pixels, in order of their first pixel by row."""
-    at = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(x, y, strict=True))}
+    """Labels from 1 of 8-connected on-pixels, in order of their first pixel by row. Pixels are sorted by row, each is
+    joined to its four neighbours that come before, and every one takes the least root until nothing changes."""
     order = np.lexsort((x, y))
-    out, nxt = np.zeros(len(x), np.int64), 0
-    for k in order:
-        if out[k]:
-            continue
-        nxt += 1
-        todo = [k]
-        out[k] = nxt
-        while todo:
-            p = todo.pop()
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    q = at.get((int(x[p]) + dx, int(y[p]) + dy))
-                    if q is not None and not out[q]:
-                        out[q] = nxt
-                        todo.append(q)
+    xs, ys = x[order].astype(np.int64), y[order].astype(np.int64)
+    wide = int(xs.max(initial=0) - xs.min(initial=0)) + 3
+    key = (ys - ys.min(initial=0)) * wide + xs - xs.min(initial=0) + 1
+    left, right = [], []
+    for step in (1, wide - 1, wide, wide + 1):
+        at = np.searchsorted(key, key - step)
+        found = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == key - step) if len(key) else at
+        left.append(found)
+        right.append(at[found])
+    a, b = np.concatenate(left), np.concatenate(right)
+    root = np.arange(len(key))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    out = np.empty(len(key), np.int64)
+    out[order] = np.unique(root, return_inverse=True)[1] + 1
     return out
 
 
@@ -74,6 +81,29 @@ def by_area(found: DataFrame, least: int = 500, most: int = 10000) -> DataFrame:
     return found.where(F.col("area").between(least, most))
 
 
+def refine(labelled: DataFrame, least: int = 500, most: int = 10000) -> DataFrame:
+    """The pixels of the blobs whose area is within bounds; a frame's blobs are few against its pixels."""
+    kept = by_area(blobs(labelled), least, most).select("frame_index", "label")
+    return labelled.join(kept, ["frame_index", "label"], "left_semi")
+
+
+def without_shadows(value: Column) -> Column:
+    return F.when(value == 127, F.lit(0)).otherwise(value)
+
+
+def opened_closed(pixels: DataFrame, width: int, height: int | None = None, opening: int = 7, closing: int = 11) -> DataFrame:
+    """open_close on rows of on-pixels, frame by frame; without a height, down to a frame's last on-pixel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((height or int(pdf.y.max()) + 1, width), np.uint8)
+        mask[pdf.y, pdf.x] = 255
+        y, x = np.nonzero(open_close(mask, opening, closing))
+        return pd.DataFrame({"frame_index": pdf.frame_index.iloc[0], "x": x, "y": y})
+
+    rows = pixels.select("frame_index", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    return rows.groupBy("frame_index").applyInPandas(run, "frame_index bigint, x bigint, y bigint")
+
+
 def to_detections(found: DataFrame, camera_id: str, source: str = "mog2") -> DataFrame:
     """Blobs as detections of full confidence and no class."""
     from pyspark.sql.window import Window

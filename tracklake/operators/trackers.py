@@ -4,11 +4,12 @@ The constant-velocity filter of a box (centre, aspect, height) falls apart into
 a position and a velocity, coupled only by the height that scales their noise, so all tracks
 are predicted and updated as arrays. A tracker's state is a plain object with one
 step(boxes, features); batch and streaming wrap the same step. The unit of parallelism is the
-camera: frames of one camera are inherently sequential.
+camera: frames of one camera are inherently sequential, and stream through its task a batch at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..schema import COORDS, EPSILON
 from .assignment import gated
+from .runs import spans, whole_runs
 
 #: Noise per unit of height, of positions and velocities; and the aspect's own.
 POSITION, VELOCITY = 1 / 20, 1 / 160
@@ -180,20 +182,29 @@ RESULT = f"camera_id string, frame_index bigint, det_ord int, emit_ord int, {',
 
 def advance(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
     """Runs a camera's rows (frames without detections have a null det_ord) in frame order."""
-    out = []
-    for _, frame in rows.sort_values(["frame_index", "det_ord"], kind="stable").groupby("frame_index", sort=True):
-        seen = frame[frame.det_ord.notna()]
-        features = np.stack(seen.embedding.to_list()).astype(float) if "embedding" in seen and len(seen) else np.empty((0, 1)) if "embedding" in seen else None
-        for k, (d, track) in enumerate(tracker.step(seen[list(COORDS)].to_numpy(float), features)):
-            r = seen.iloc[d]
-            out.append((r.camera_id, int(r.frame_index), int(r.det_ord), k, *(float(r[c]) for c in COORDS), float(r.confidence), None if pd.isna(r.class_id) else int(r.class_id), r.class_name, track))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+    rows = rows.sort_values(["frame_index", "det_ord"], kind="stable", na_position="first").reset_index(drop=True)
+    boxes, seen = rows[list(COORDS)].to_numpy(float), rows.det_ord.notna().to_numpy()
+    features = rows.embedding.to_list() if "embedding" in rows else None
+    take, place, tracks = [], [], []
+    for lo, hi in spans(rows.frame_index.to_numpy()):
+        at = lo + np.flatnonzero(seen[lo:hi])
+        looks = None if features is None else np.stack([features[k] for k in at]).astype(float) if len(at) else np.empty((0, 1))
+        for k, (d, track) in enumerate(tracker.step(boxes[at], looks)):
+            take.append(at[d])
+            place.append(k)
+            tracks.append(track)
+    out = rows.iloc[take].assign(emit_ord=place, track_id=tracks)
+    return out[[c.split()[0] for c in RESULT.split(", ")]]
 
 
 def frame_rows(detections: DataFrame, frames: DataFrame, features: DataFrame | None = None) -> DataFrame:
-    """Detections of all frames, a row with nulls for a frame that has none."""
+    """Detections of all frames, a row with nulls for a frame that has none. A detection without an
+    embedding has that of an empty crop, all zeros: it is like nothing, and moves with its box alone."""
     if features is not None:
-        detections = detections.join(features.select("camera_id", "frame_index", "det_ord", "embedding"), ["camera_id", "frame_index", "det_ord"])
+        size = features.select(F.size("embedding").alias("n")).first()
+        zeros = F.array_repeat(F.lit(0.0).cast("float"), size["n"] if size else 1)
+        own = features.select("camera_id", "frame_index", "det_ord", F.col("embedding").cast("array<float>").alias("embedding"))
+        detections = detections.join(own, ["camera_id", "frame_index", "det_ord"], "left").withColumn("embedding", F.coalesce("embedding", zeros))
     return frames.select("camera_id", "frame_index").distinct().join(detections, ["camera_id", "frame_index"], "left")
 
 
@@ -201,26 +212,41 @@ def track(detections: DataFrame, frames: DataFrame, features: DataFrame | None =
     """Matched detections with their track_id; emit_ord is their order within the frame."""
     make = sort_tracker if features is None else deep_sort_tracker
     columns = ["camera_id", "frame_index", "det_ord", *COORDS, "confidence", "class_id", "class_name", *(["embedding"] if features is not None else [])]
-    rows = frame_rows(detections, frames, features).select(*columns)
-    return rows.groupBy("camera_id").applyInPandas(lambda pdf: advance(make(**options), pdf), RESULT)
+    rows = frame_rows(detections, frames, features).select(*columns).repartition("camera_id").sortWithinPartitions("camera_id", "frame_index", "det_ord")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tracker = None, None
+        for pdf in whole_runs(batches, "camera_id", "frame_index"):
+            for lo, hi in spans(pdf.camera_id.to_numpy()):
+                if pdf.camera_id.iloc[lo] != now:
+                    now, tracker = pdf.camera_id.iloc[lo], make(**options)
+                yield advance(tracker, pdf.iloc[lo:hi])
+
+    return rows.mapInPandas(run, RESULT)
 
 
 def kalman_path(tracks: DataFrame) -> DataFrame:
-    """The filtered box of each track after each of its detections, predicted one step between them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        z, out, state = measure(pdf[list(COORDS)].to_numpy(float)), [], None
-        for k in range(len(z)):
-            if state is None:
-                state = Kalman(z[k])
-            else:
-                state.predict()
-                state.update(np.array([0]), z[k : k + 1])
-            out.append([*state.p[0], *state.v[0]])
-        names = ["cx", "cy", "a", "h", "vx", "vy", "va", "vh"]
-        return pd.concat([pdf[["camera_id", "track_id", "frame_index"]].reset_index(drop=True), pd.DataFrame(out, columns=names).round(6)], axis=1)
-
-    return tracks.groupBy("camera_id", "track_id").applyInPandas(
+    """The filtered box of each track after each of its detections, predicted one step between them. All tracks
+    of a batch are filtered together, detection by detection."""
+    names = ["cx", "cy", "a", "h", "vx", "vy", "va", "vh"]
+    rows = tracks.select("camera_id", "track_id", "frame_index", *COORDS).repartition("camera_id", "track_id").sortWithinPartitions("camera_id", "track_id", "frame_index")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_runs(batches, "camera_id", "track_id"):
+            z, out = measure(pdf[list(COORDS)].to_numpy(float)), np.empty((len(pdf), 8))
+            first = np.array([lo for lo, _ in spans(pd.factorize(pd.MultiIndex.from_frame(pdf[["camera_id", "track_id"]]))[0])])
+            length = np.diff([*first, len(pdf)])
+            state = Kalman(z[first])
+            for k in range(int(length.max())):
+                alive = np.flatnonzero(length > k)
+                if k:
+                    state.take(None, alive)
+                    first, length, alive = first[alive], length[alive], np.arange(len(alive))
+                    state.predict()
+                    state.update(alive, z[first + k])
+                out[first + k] = np.concatenate([state.p, state.v], axis=1)
+            yield pd.concat([pdf[["camera_id", "track_id", "frame_index"]], pd.DataFrame(out, columns=names)], axis=1)
+
+    return rows.mapInPandas(
         run, "camera_id string, track_id bigint, frame_index bigint, cx double, cy double, a double, h double, vx double, vy double, va double, vh double"
     )

@@ -20,15 +20,18 @@ FROM events""",
  CAST(90*(n.n_nationkey DIV 3) + (c.c_custkey*3) % 200 AS DOUBLE) AS x1, CAST(100 + c.c_custkey % 50 AS DOUBLE) AS y1,
  CAST(90*(n.n_nationkey DIV 3) + (c.c_custkey*3) % 200 + 60 AS DOUBLE) AS x2, CAST(220 + c.c_custkey % 50 AS DOUBLE) AS y2,
  concat('Red_', CAST(n.n_nationkey AS STRING)) AS class_name
-FROM nation n CROSS JOIN customer c WHERE c.c_custkey < 60""",
+FROM nation n CROSS JOIN customer c""",
     "pred": """SELECT camera_id, frame_index, det_ord,
  x1 + (gt_pos*7 + det_ord*5) % 23 AS x1, y1 + (gt_pos*3) % 11 AS y1, x2 + (gt_pos*7 + det_ord*5) % 23 AS x2, y2 + (gt_pos*3) % 11 AS y2,
  CAST(det_ord + 1 + 100*((gt_pos + det_ord) DIV 40) AS BIGINT) AS track_id
 FROM gt WHERE (gt_pos*5 + det_ord*3) % 13 <> 0""",
     "tracked": """SELECT camera_id, frame_index, det_ord, x1, y1, x2, y2, confidence, class_name,
- CAST((CAST(substring(camera_id, 5) AS INT)*1000) + (frame_index*7 + det_ord) % 12 AS BIGINT) AS track_id FROM det WHERE det_ord < 12""",
-    "gallery": "SELECT CAST(label AS BIGINT) AS track_id, vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0",
-    "det_feat": "SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 1",
+ CAST((CAST(substring(camera_id, 5) AS INT)*1000) + (frame_index*7 + det_ord) % 12 AS BIGINT) AS track_id FROM det""",
+    "gallery": """SELECT concat('cam_', CAST(vec_id % 3 AS STRING)) AS camera_id, vec_id DIV 60 AS frame_index, CAST(label AS BIGINT) AS track_id, vec_id, embedding
+FROM embeddings WHERE vec_id % 2 = 0""",
+    "det_feat": """SELECT concat('cam_', CAST(vec_id % 3 AS STRING)) AS camera_id, vec_id DIV 60 AS frame_index, vec_id, embedding
+FROM embeddings WHERE vec_id % 2 = 1""",
+    "raw": """SELECT camera_id, frame_index, det_ord, x1, y1, x2, y2, class_id, CAST((det_ord*7919 + frame_index*104729 + class_id*31) % 100000 AS DOUBLE)/100000 AS confidence FROM det""",
     "coco_images": """SELECT o_orderkey AS id, concat(CASE WHEN o_orderkey % 17 = 0 THEN 'foo' ELSE 'out' END, CAST(o_custkey % 3 + 2 AS STRING),
  '_frame_', lpad(CAST(o_orderkey AS STRING), 5, '0'), '_jpg.rf.x.jpg') AS file_name FROM orders""",
     "coco_categories": "SELECT n_nationkey AS id, concat('White_', CAST(n_nationkey AS STRING)) AS name FROM nation",
@@ -61,6 +64,8 @@ def oracle(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     text = ",\n".join(f"{n} AS ({VIEWS[n].replace(' DIV ', ' // ').replace('AS STRING', 'AS VARCHAR')})" for n in order)
+    if not text and not sql.lstrip().startswith((",", "RECURSIVE")):
+        return sql
     recursive = "RECURSIVE " if sql.lstrip().upper().startswith("RECURSIVE") else ""
     body = sql.lstrip()[len("RECURSIVE") :] if recursive else sql
     return f"WITH {recursive}{text}{body if body.lstrip().startswith(',') else ' ' + body}"

@@ -32,9 +32,12 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 
 def coco_to_truth(categories: DataFrame, images: DataFrame, annotations: DataFrame) -> DataFrame:
     """Ground truth by camera: frames numbered from a camera's first annotated one, images of
-    unknown cameras dropped, boxes as corners, full confidence, no track id."""
+    unknown cameras dropped, boxes as corners, full confidence, no track id. A category that is not listed is an error."""
     known = images.select(F.col("id").alias("image_id"), camera_of(F.col("file_name")).alias("camera_id"), frame_of(F.col("file_name")).alias("frame")).where("camera_id IS NOT NULL")
-    rows = annotations.join(known, "image_id").join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("class_name")), "category_id")
+    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("class_name"))
+    rows = annotations.join(known, "image_id").join(names, "category_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown category "), F.coalesce(F.col("category_id").cast("string"), F.lit("null"))))
+    rows = rows.where(F.when(F.col("class_name").isNull(), unknown.cast("boolean")).otherwise(F.lit(True)))
     first = F.min("frame").over(Window.partitionBy("camera_id"))
     place = F.row_number().over(Window.partitionBy("camera_id", "frame").orderBy("ord")) - 1
     return rows.select(
@@ -44,6 +47,11 @@ def coco_to_truth(categories: DataFrame, images: DataFrame, annotations: DataFra
     )
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """Adds gt_pos: the place of a camera's frame among those that have rows."""
+    return rows.withColumn("gt_pos", (F.dense_rank().over(Window.partitionBy("camera_id").orderBy("frame_index")) - 1).cast("bigint"))
+
+
 def dictionary_ids(rows: DataFrame, name: str, order: list[str], base: int = 1) -> DataFrame:
     """Ids of names by first occurrence within each camera."""
     first = rows.groupBy("camera_id", name).agg(F.min(F.struct(*order)).alias("first"))
@@ -59,9 +67,36 @@ def nested(rows: DataFrame, fps: float = 25.0, source: str = "ground_truth") ->
     return out.select(F.lit(source).alias("source"), "camera_id", F.lit(fps).alias("fps"), "frames").orderBy("camera_id")
 
 
-def write_sequences(rows: DataFrame, path: str, **options: object) -> None:
-    """One folder a camera; what exists is left as it is."""
-    nested(rows, **options).write.partitionBy("camera_id").mode("ignore").json(path)
+def write_sequences(rows: DataFrame, path: str, **options: object) -> list[str]:
+    """One folder a camera, of those that have none yet: what exists is left as it is. Returns the cameras written, sorted."""
+    spark = rows.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    cameras = sorted(r["camera_id"] for r in rows.select("camera_id").distinct().collect())
+    there = {f.getPath().getName() for f in fs.listStatus(fs_path)} if fs.exists(fs_path) else set()
+    missing = [c for c in cameras if f"camera_id={c}" not in there]
+    if missing:
+        some = rows.where(F.col("camera_id").isin(missing))
+        nested(some, **options).repartition("camera_id").write.partitionBy("camera_id").mode("append").json(path)
+    return missing
+
+
+def copy_annotations(folder: str, target: str, coco: bool = True, spark: SparkSession | None = None) -> list[str]:
+    """A downloaded split of a dataset: COCO annotations become sequences, of another format the first JSON file is copied."""
+    import shutil
+    from pathlib import Path
+
+    if coco:
+        source = Path(folder) / "_annotations.coco.json"
+        if not source.exists():
+            raise FileNotFoundError(str(source))
+        return write_sequences(coco_to_truth(*read_coco(spark or SparkSession.getActiveSession(), str(source))), target)
+    found = sorted(Path(folder).glob("*.json"))
+    if not found:
+        raise FileNotFoundError(f"no JSON file in {folder}")
+    Path(target).mkdir(parents=True, exist_ok=True)
+    shutil.copy2(found[0], Path(target) / found[0].name)
+    return [found[0].name]
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
