@@ -25,7 +25,15 @@ def video_path(camera_id: Column, folder: str) -> Column:
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """categories(id, name), images(id, file_name), annotations(image_id, category_id, x, y, w, h, ord)."""
-    df = spark.read.schema(COCO_JSON).option("multiLine", True).json(path)
+    if path.rsplit("/", 1)[-1][:1] in "_.":  # Spark takes no files of such names; the document is one row either way
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).open(at)
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        df = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", COCO_JSON).alias("d")).select("d.*")
+    else:
+        df = spark.read.schema(COCO_JSON).option("multiLine", True).json(path)
     annotations = df.select(F.posexplode("annotations").alias("ord", "a")).select("a.image_id", "a.category_id", *(F.col("a.bbox")[k].alias(n) for k, n in enumerate("xywh")), F.col("ord").cast("long").alias("ord"))
     return df.select(F.explode("categories").alias("c")).select("c.*"), df.select(F.explode("images").alias("i")).select("i.*"), annotations
 
