@@ -192,10 +192,9 @@ def hota_by_alpha(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE
     counts_t = truth.groupBy("camera_id", "class_name").agg(F.count("*").alias("count_t"))
     counts_p = judged(truth, predictions, stride).groupBy("camera_id", "track_id").agg(F.count("*").alias("count_p"))
     # How well two identities agree over the whole sequence, from each frame's normalised overlaps.
-    by_t = pairs.groupBy("camera_id", "gt_pos", "class_name").agg(F.sum("iou").alias("sum_t"))
-    by_p = pairs.groupBy("camera_id", "gt_pos", "track_id").agg(F.sum("iou").alias("sum_p"))
-    shared = pairs.join(by_t, ["camera_id", "gt_pos", "class_name"]).join(by_p, ["camera_id", "gt_pos", "track_id"])
-    shared = shared.groupBy("camera_id", "class_name", "track_id").agg(F.sum(F.col("iou") / (F.col("sum_t") + F.col("sum_p") - F.col("iou"))).alias("potential"))
+    of = lambda *names: F.sum("iou").over(Window.partitionBy("camera_id", "gt_pos", *names))
+    norm = pairs.withColumn("norm", F.col("iou") / (of("gt_ord") + of("pred_ord") - F.col("iou")))
+    shared = norm.groupBy("camera_id", "class_name", "track_id").agg(F.sum("norm").alias("potential"))
     aligned = shared.join(counts_t, ["camera_id", "class_name"]).join(counts_p, ["camera_id", "track_id"]).select(
         "camera_id", "class_name", "track_id", "count_t", "count_p", (F.col("potential") / (F.col("count_t") + F.col("count_p") - F.col("potential"))).alias("alignment")
     )
@@ -209,8 +208,11 @@ def hota_by_alpha(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE
 
     both = pairs.join(aligned, ["camera_id", "class_name", "track_id"])
     chosen = _assigned(both, run)
-    at = chosen.withColumn("alpha", F.explode(F.array(*(F.lit(a) for a in ALPHAS)))).where(F.col("iou") >= F.col("alpha") - 2.3e-16)
-    by_pair = at.groupBy("camera_id", "alpha", "class_name", "track_id").agg(F.count("*").alias("m"), F.sum("iou").alias("near"), F.first("count_t").alias("count_t"), F.first("count_p").alias("count_p"))
+    # A row a pair of identities with its sums for all alphas, and only then a row an alpha.
+    passed = lambda a: F.col("iou") >= F.lit(a - 2.3e-16)
+    sums = [F.struct(F.lit(a).alias("alpha"), F.count_if(passed(a)).alias("m"), F.sum(F.when(passed(a), F.col("iou"))).alias("near")) for a in ALPHAS]
+    by_pair = chosen.groupBy("camera_id", "class_name", "track_id").agg(F.array(*sums).alias("a"), F.first("count_t").alias("count_t"), F.first("count_p").alias("count_p"))
+    by_pair = by_pair.select("camera_id", "count_t", "count_p", F.explode("a").alias("x")).select("camera_id", "count_t", "count_p", "x.*").where("m > 0")
     by_alpha = by_pair.groupBy("camera_id", "alpha").agg(
         F.sum("m").alias("tp"), F.sum("near").alias("near"), F.sum(F.col("m") * F.col("m") / (F.col("count_t") + F.col("count_p") - F.col("m"))).alias("ass")
     )
