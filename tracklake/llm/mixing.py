@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 
 from . import shared
 
-#: Hashes have 63 bits; a range of them is named by its first BITS bits, and a range within it by as many more.
-HASH_BITS, BITS = 63, 8
+#: Hashes are the first 60 bits of an MD5 sum; a range of them is named by its first BITS bits, and a range within it by as many more.
+HASH_BITS, BITS = 60, 8
 LEAF_BROADCAST = 20_000
 LEVELS = ["domain", "lang", "source"]
 
@@ -59,9 +59,14 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(shared.WORD)), F.lit(0)).cast("long")
 
 
+def hashed(text: Column) -> Column:
+    """The first HASH_BITS bits of a text's MD5 sum."""
+    return F.conv(F.substr(F.md5(text.cast("binary")), F.lit(1), F.lit(HASH_BITS // 4)), 16, 10).cast("long")
+
+
 def domain_of(source: Column, recipe: Recipe) -> Column:
-    """A source belongs to one of recipe.domains domains by its checksum."""
-    return F.concat(F.lit("domain"), F.coalesce(F.crc32(source.cast("string").cast("binary")), F.lit(0)) % recipe.domains)
+    """A source belongs to one of recipe.domains domains by its hash; none to the first."""
+    return F.concat(F.lit("domain"), F.coalesce(hashed(source.cast("string")), F.lit(0)) % recipe.domains)
 
 
 def leaf_key(recipe: Recipe) -> Column:
@@ -182,19 +187,19 @@ def plan(docs: DataFrame, recipe: Recipe = RECIPE) -> DataFrame:
     )
     leaves = shared.materialise(leaves, "budgets")
 
-    hashed = with_leaf(rows, leaves.where("rest > 0").select("leaf", "rows", "epochs", "rest"))
-    hashed = hashed.select("leaf", "rest", "tokens", order_hash(F.col("doc_id"), F.col("epochs"), recipe).alias("h"))
-    hashed = shared.materialise(hashed, "hashes")
-    wide = _end(hashed.withColumn("before", F.lit(0).cast("long")), HASH_BITS - BITS)
-    inside = hashed.join(wide, "leaf").where(F.col("h").between(F.col("from"), F.col("to")))
+    known = with_leaf(rows, leaves.where("rest > 0").select("leaf", "rows", "epochs", "rest"))
+    known = known.select("leaf", "rest", "tokens", order_hash(F.col("doc_id"), F.col("epochs"), recipe).alias("h"))
+    known = shared.materialise(known, "hashes")
+    wide = _end(known.withColumn("before", F.lit(0).cast("long")), HASH_BITS - BITS)
+    inside = known.join(wide, "leaf").where(F.col("h").between(F.col("from"), F.col("to")))
     narrow = _end(inside, HASH_BITS - 2 * BITS)
-    last = hashed.join(narrow, "leaf").where(F.col("h").between(F.col("from"), F.col("to")))
+    last = known.join(narrow, "leaf").where(F.col("h").between(F.col("from"), F.col("to")))
     last = last.groupBy("leaf", "rest", "before", "h").agg(F.sum("tokens").alias("n"))
     taken = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("h"))
     cut = last.withColumn("upto", taken).where("upto <= rest").groupBy("leaf").agg(F.max("h").alias("h"))
     cuts = narrow.join(cut, "leaf", "left").select("leaf", F.coalesce("h", F.col("from") - 1).alias("cut"))
     done = shared.materialise(leaves.join(cuts, "leaf", "left").select(F.col("leaf.domain").alias("_domain"), "leaf.lang", "leaf.source", "*"), "cuts")
-    shared.discard(rows, sums, leaves, hashed, narrow)
+    shared.discard(rows, sums, leaves, known, narrow)
     return done
 
 
@@ -217,8 +222,8 @@ def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def order_hash(doc_id: Column, epoch: Column, recipe: Recipe) -> Column:
-    """0 .. 2^63 - 1."""
-    return F.xxhash64(F.lit(recipe.seed), epoch.cast("int"), doc_id).bitwiseAND(F.lit((1 << 63) - 1))
+    """0 .. 2^HASH_BITS - 1."""
+    return hashed(F.concat_ws(":", F.lit(str(recipe.seed)), epoch.cast("string"), doc_id.cast("string")))
 
 
 def select_rows(docs: DataFrame, recipe: Recipe = RECIPE, leaves: DataFrame | None = None, domain: str = "_domain", epoch: str = "_epoch") -> DataFrame:
