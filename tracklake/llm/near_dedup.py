@@ -8,8 +8,8 @@
    both sketches, so any two linked texts have one in common.
 2. Texts with the same words are one: copies follow their representative, the least doc_id.
 3. BANDS runs of ROWS compressed registers are hashed; representatives that agree in a
-   band are candidates. A bucket gives an edge from each member to its least member, so
-   all candidates of a bucket are in one cluster; no bucket emits its pairs.
+   band are candidates. A bucket gives an edge from each member to its hub, the member that meets the
+   most others over all bands, so all candidates of a bucket are in one cluster; no bucket emits its pairs.
 4. Each text is compared with one hub, that with which it shares the most bands. Texts that are linked
    this way are one component already, and pairs within a component need no look: what is left
    are pairs of texts of one cluster and of different components.
@@ -394,9 +394,8 @@ def _judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = all_rows.where("digest IS NOT NULL").groupBy("digest").agg(stays, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_shingles", "reg_a", "reg_b")))
     nodes = shared.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = shared.materialise(band_rows(nodes), "bands")
-    buckets = shared.materialise(bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    edges = meet(bands, buckets, "band", buckets.agg(F.sum("n")).first()[0] or 0)
-    edges = shared.materialise(edges.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), "candidates")
+    edges, held = _hub_edges(bands)
+    edges = shared.materialise(edges, "candidates")
     clusters = shared.materialise(connected_components(edges).withColumnRenamed("component", "cluster"), "clusters")
     texts = shared.materialise(_texts(docs, nodes.join(clusters.select("node"), "node", "left_semi")), "texts")
     near = shared.materialise(hub_links(texts, edges, percent), "links")
@@ -404,7 +403,7 @@ def _judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = verified_links(texts, nodes, clusters, some, percent)
     groups = connected_components(some.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     groups = shared.materialise(groups.join(nodes.select("node", "stays"), "node"), "groups")
-    shared.discard(bands, buckets, edges, clusters, texts, near, some)
+    shared.discard(bands, held, edges, clusters, texts, near, some)
     least = groups.groupBy("component").agg(F.min("stays").alias("least"), F.count("*").alias("n"))
     least = meet(groups.select("node", "component"), least, "component", groups.count()).select("node", "least")
     labels = nodes.select("digest", "node", "n", "stays").join(least, "node", "left").select("digest", "n", F.coalesce("least", "stays").alias("of"))
@@ -414,6 +413,20 @@ def _judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("doc_id", "text_key", "n_shingles", F.col("of.doc_id").alias("component_id"), F.col("of.text_key").alias("component_key")).unionByName(empty)
 
 
+def _hub_edges(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v): each member of a bucket and the bucket's hub; and a table that this reads. The hub is the member that meets
+    most others over all its bands: of copies of one text that were each changed elsewhere, the text itself."""
+    buckets = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    buckets = shared.materialise(buckets, "buckets")
+    held = shared.materialise(meet(bands, buckets, "band", buckets.agg(F.sum("n")).first()[0] or 0), "held")
+    shared.discard(buckets)
+    scores = held.groupBy("node").agg(F.sum("size").alias("score"))
+    best = F.max(F.struct("score", (-F.col("node")).alias("minus"), "node"))
+    hubs = held.join(scores, "node").groupBy("band").agg(best.alias("b"), F.count("*").alias("n")).select("band", F.col("b.node").alias("hub"), "n")
+    edges = meet(held.select("band", "node"), hubs, "band", held.count()).where("node <> hub")
+    return edges.select(F.col("node").alias("u"), F.col("hub").alias("v")), held
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of nodes, from the row that stands for each; repeated rows bring a text once."""
     doc_id = F.col("doc_id").cast("long")
