@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklake import catalogue
 from tracklake.functions import geometry as geo
-from tracklake.operators import appearance, detections, evaluation, images, masks, trackers
+from tracklake.operators import appearance, detections, evaluation, images, labels, masks, trackers
 from tracklake.plans.views import view
 from tracklake.sources import annotations, backends, video
 from tracklake.streaming.trackers import track_stream
@@ -385,3 +385,48 @@ def test_suppression_is_idempotent(spark):
     twice = detections.nms(once)
     key = lambda df: sorted(map(tuple, df.select("camera_id", "frame_index", "det_ord").collect()))
     assert key(once) == key(twice)
+
+
+def test_labels_are_claimed_across_batches(spark):
+    """Against a plain loop, with batches of two rows, so that claims outlive a batch."""
+    random = np.random.default_rng(3)
+    rows = [(f"cam_{c}", int(t), int(f), int(o), str(random.choice(["Ball", "Red_1", "Red_2", "White_3"])), float(random.integers(1, 9)) / 10)
+            for c in range(2) for t in range(9) for f, o in zip(random.choice(40, 5, replace=False), range(t * 5, t * 5 + 5), strict=True)]
+    df = spark.createDataFrame(rows, "camera_id string, track_id long, frame_index long, det_ord int, class_name string, confidence double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r.camera_id, r.track_id): r.stable_name for r in labels.stable_labels(labels.votes(df)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for camera in ("cam_0", "cam_1"):
+        tracks = []
+        for t in range(9):
+            own = [r for r in rows if r[:2] == (camera, t)]
+            votes = {}
+            for r in own:
+                total, first = votes.get(r[4], (0, (r[2], r[3])))
+                votes[r[4]] = (total + round(r[5] * 1000), min(first, (r[2], r[3])))
+            ranked = sorted(votes, key=lambda x: (-votes[x][0], votes[x][1]))
+            tracks.append(((-votes[ranked[0]][0], -len(own), min((r[2], r[3]) for r in own)), t, ranked))
+        claimed = set()
+        for _, t, ranked in sorted(tracks):
+            want[camera, t] = next((x for x in ranked if x == "Ball" or x not in claimed), ranked[0])
+            claimed |= {want[camera, t]} - {"Ball"}
+    assert got == want
+
+
+def test_frames_have_a_place_by_camera(spark):
+    rows = spark.createDataFrame([("a", 9, 0), ("a", 9, 1), ("a", 3, 0), ("b", 5, 0), ("b", None, 0)], "camera_id string, frame_index long, det_ord int")
+    got = {(r.camera_id, r.frame_index, r.det_ord): r.gt_pos for r in annotations.with_place(rows).collect()}
+    assert got == {("a", 3, 0): 0, ("a", 9, 0): 1, ("a", 9, 1): 1, ("b", 5, 0): 0, ("b", None, 0): None}
+
+
+def test_a_camera_begins_with_its_first_annotated_image(spark):
+    """Images without annotations, of unknown cameras or of other cameras don't count."""
+    categories = spark.createDataFrame([(0, "Ball")], "id int, name string")
+    pictures = spark.createDataFrame([(1, "out2_frame_00002_x.jpg"), (2, "out2_frame_00007_x.jpg"), (3, "out3_frame_00004_x.jpg"), (4, "foo_frame_00001_x.jpg")], "id long, file_name string")
+    found = spark.createDataFrame([(2, 0, 1.0, 1.0, 2.0, 2.0, 0), (3, 0, 1.0, 1.0, 2.0, 2.0, 1), (4, 0, 1.0, 1.0, 2.0, 2.0, 2)], "image_id long, category_id int, x double, y double, w double, h double, ord long")
+    got = {(r.camera_id, r.frame_index) for r in annotations.coco_to_truth(categories, pictures, found).collect()}
+    assert got == {("cam_2", 0), ("cam_3", 0)}

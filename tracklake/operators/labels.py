@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,34 +27,47 @@ def ranked(voted: DataFrame) -> DataFrame:
     return voted.withColumn("rank", F.row_number().over(w))
 
 
-def priorities(voted: DataFrame) -> DataFrame:
-    """A row a track: its labels by rank, its length, its priority within the camera."""
+def _tracks(voted: DataFrame) -> DataFrame:
+    """A row a track: its labels by rank, its length, its best label's votes, where it was first seen."""
     rows = voted.groupBy("camera_id", "track_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("milli")).alias("minus"), "first", "class_name"))).alias("labels"),
         F.sum("n").alias("length"),
         F.min("first").alias("first"),
     )
-    rows = rows.withColumn("top", -F.col("labels")[0]["minus"])
-    w = Window.partitionBy("camera_id").orderBy(F.col("top").desc(), F.col("length").desc(), "first")
-    return rows.select("camera_id", "track_id", F.transform("labels", lambda x: x["class_name"]).alias("labels"), "length", "top", F.row_number().over(w).alias("priority"))
+    names = F.transform("labels", lambda x: x["class_name"]).alias("labels")
+    return rows.select("camera_id", "track_id", names, "length", (-F.col("labels")[0]["minus"]).alias("top"), "first")
+
+
+def _priority() -> list[Column]:
+    """The order in which a camera's tracks claim their labels."""
+    return [F.desc("top"), F.desc("length"), F.asc("first")]
+
+
+def priorities(voted: DataFrame) -> DataFrame:
+    """The tracks with their priority within the camera."""
+    w = Window.partitionBy("camera_id").orderBy(*_priority())
+    return _tracks(voted).select("camera_id", "track_id", "labels", "length", "top", F.row_number().over(w).alias("priority"))
 
 
 def stable_labels(voted: DataFrame) -> DataFrame:
-    """Each track, by priority, claims its best label not yet claimed; the ball is never
-    claimed, and a track without a free label keeps its best one. A fold over one camera's tracks."""
-    lists = priorities(voted).groupBy("camera_id").agg(F.sort_array(F.collect_list(F.struct("priority", "track_id", "labels"))).alias("t"))
-    start = F.struct(F.array().cast("array<string>").alias("claimed"), F.array().cast("array<struct<track_id:bigint,class_name:string>>").alias("out"))
-
-    def claim(acc, t):
-        free = F.filter(t["labels"], lambda x: (x == BALL) | ~F.array_contains(acc["claimed"], x))
-        mine = F.coalesce(F.get(free, F.lit(0)), F.get(t["labels"], F.lit(0)))
-        taken = (F.size(free) > 0) & (mine != BALL)
-        return F.struct(
-            F.when(taken, F.array_append(acc["claimed"], mine)).otherwise(acc["claimed"]).alias("claimed"),
-            F.array_append(acc["out"], F.struct(t["track_id"].alias("track_id"), mine.alias("class_name"))).alias("out"),
-        )
-
-    return lists.select("camera_id", F.explode(F.aggregate("t", start, claim, lambda a: a["out"])).alias("x")).select("camera_id", "x.track_id", F.col("x.class_name").alias("stable_name"))
+    """Each track, by priority, claims its best label not yet claimed; the ball is never claimed, and a track without
+    a free label keeps its best one. A camera's tracks come in order, a batch at a time: only claims are held."""
+    rows = _tracks(voted).repartition("camera_id").sortWithinPartitions("camera_id", *_priority())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, claimed = None, set()
+        for pdf in batches:
+            names = []
+            for camera, found in zip(pdf.camera_id, pdf.labels, strict=True):
+                if camera != now:
+                    now, claimed = camera, set()
+                mine = next((x for x in found if x is not None and x not in claimed), found[0])
+                if mine != BALL:
+                    claimed.add(mine)
+                names.append(mine)
+            yield pd.DataFrame({"camera_id": pdf.camera_id, "track_id": pdf.track_id, "stable_name": names})
+
+    return rows.select("camera_id", "track_id", "labels").mapInPandas(run, "camera_id string, track_id bigint, stable_name string")
 
 
 def dedupe(tracks: DataFrame) -> DataFrame:

@@ -42,22 +42,28 @@ def coco_to_truth(categories: DataFrame, images: DataFrame, annotations: DataFra
     """Ground truth by camera: frames numbered from a camera's first annotated one, images of
     unknown cameras dropped, boxes as corners, full confidence, no track id. A category that is not listed is an error."""
     known = images.select(F.col("id").alias("image_id"), camera_of(F.col("file_name")).alias("camera_id"), frame_of(F.col("file_name")).alias("frame")).where("camera_id IS NOT NULL")
+    # A camera's first frame meets its images, not its annotations: no task gets all rows of a camera.
+    first = known.join(annotations, "image_id", "left_semi").groupBy("camera_id").agg(F.min("frame").alias("first"))
+    known = known.join(first, "camera_id")
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("class_name"))
     rows = annotations.join(known, "image_id").join(names, "category_id", "left")
     unknown = F.raise_error(F.concat(F.lit("unknown category "), F.coalesce(F.col("category_id").cast("string"), F.lit("null"))))
     rows = rows.where(F.when(F.col("class_name").isNull(), unknown.cast("boolean")).otherwise(F.lit(True)))
-    first = F.min("frame").over(Window.partitionBy("camera_id"))
     place = F.row_number().over(Window.partitionBy("camera_id", "frame").orderBy("ord")) - 1
     return rows.select(
-        "camera_id", (F.col("frame") - first).alias("frame_index"), place.cast("int").alias("det_ord"),
+        "camera_id", (F.col("frame") - F.col("first")).alias("frame_index"), place.cast("int").alias("det_ord"),
         F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"),
         F.lit(1.0).alias("confidence"), F.col("category_id").alias("class_id"), "class_name", F.lit(None).cast("bigint").alias("track_id"),
     )
 
 
 def with_place(rows: DataFrame) -> DataFrame:
-    """Adds gt_pos: the place of a camera's frame among those that have rows."""
-    return rows.withColumn("gt_pos", (F.dense_rank().over(Window.partitionBy("camera_id").orderBy("frame_index")) - 1).cast("bigint"))
+    """Adds gt_pos: the place of a camera's frame among those that have rows. Frames are ranked, then met by their rows;
+    a row without a frame has no place."""
+    frame = ["camera_id", "frame_index"]
+    place = (F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_index")) - 1).cast("bigint")
+    places = rows.select(*frame).where("frame_index IS NOT NULL").distinct().withColumn("gt_pos", place)
+    return rows.join(places, frame, "left").select(*rows.columns, "gt_pos")
 
 
 def dictionary_ids(rows: DataFrame, name: str, order: list[str], base: int = 1) -> DataFrame:
