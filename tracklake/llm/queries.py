@@ -150,12 +150,13 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS ke
 
 
 _SPACE = "[\\s\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+_REFERENCES = [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&nbsp;?", "\u00a0"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&amp;?", "&")]
 
 
 def _decoded(text: str) -> str:
+    """HTML reads these names without their semicolon as well, as in a title that was cut."""
     for name, value in _REFERENCES:
-        text = f"replace({text}, '{name}', '{value}')"
+        text = f"regexp_replace({text}, '{name}', '{value}', 'g')"
     return text
 
 
