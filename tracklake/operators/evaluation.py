@@ -207,7 +207,8 @@ def hota_by_alpha(truth: DataFrame, predictions: DataFrame, stride: int = STRIDE
         return pdf[[(r, c) in hit for r, c in zip(rows[0], columns[0], strict=True)]]
 
     both = pairs.join(aligned, ["camera_id", "class_name", "track_id"])
-    chosen = _assigned(both, run)
+    # Dealt by frame once: that serves the counts, the assignments, and both ways of a pair.
+    chosen = _assigned(both.repartition("camera_id", "gt_pos"), run)
     # A row a pair of identities with its sums for all alphas, and only then a row an alpha.
     passed = lambda a: F.col("iou") >= F.lit(a - 2.3e-16)
     sums = [F.struct(F.lit(a).alias("alpha"), F.count_if(passed(a)).alias("m"), F.sum(F.when(passed(a), F.col("iou"))).alias("near")) for a in ALPHAS]
