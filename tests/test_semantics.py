@@ -199,6 +199,30 @@ def test_annotations_are_written_a_camera_at_a_time(spark, tmp_path):
     assert annotations.copy_annotations(str(tmp_path / "plain"), target, coco=False) == ["a.json"] and os.path.exists(f"{target}/a.json")
 
 
+def test_a_camera_is_a_file_of_frames_and_never_a_row(spark, tmp_path):
+    row = "camera_id string, frame_index long, det_ord int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int, class_name string, track_id long"
+    truth = [(c, 3 * f, d, 1.0 * d, 2.0, 3.0, 4.0, 1.0, d, f'"{d}', None) for c in ("a b", "cam_2") for f in range(50) for d in range(3)]
+    rows = spark.createDataFrame(truth, row).repartition(7, "x1")
+    frames = annotations.nested(rows).collect()
+    assert len(frames) == 100 and all([d.class_id for d in f.detections] == [0, 1, 2] for f in frames)
+    target = str(tmp_path / "out")
+    assert annotations.write_sequences(rows, target, source="s", fps=12.5) == ["a b", "cam_2"]
+    assert sorted(os.listdir(target)) == ["camera_id=a b", "camera_id=cam_2"]
+    for camera in ("a b", "cam_2"):
+        files = [f for f in os.listdir(f"{target}/camera_id={camera}") if not f.startswith(".")]
+        assert len(files) == 1 and files[0].endswith(".json")
+        with open(f"{target}/camera_id={camera}/{files[0]}") as f:
+            lines = f.read().splitlines()
+        document = json.loads("".join(lines))
+        assert len(lines) == 50 and document["source"] == "s" and document["fps"] == 12.5
+        assert [f["frame_index"] for f in document["frames"]] == [3 * f for f in range(50)]
+        assert document["frames"][7]["detections"][2] == {"bbox": {"x1": 2.0, "y1": 2.0, "x2": 3.0, "y2": 4.0}, "confidence": 1.0, "class_id": 2, "class_name": '"2'}
+    back = annotations.read_sequences(spark, target).collect()
+    assert sorted((r.camera_id, r.frame_index, r.det_ord) for r in back) == sorted(r[:3] for r in truth)
+    plan = catalogue.queries()["gt_json_nested"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1, "frames are gathered, cameras are not"
+
+
 def test_a_missing_category_is_an_error(spark, tmp_path):
     coco(tmp_path / "x.json", category=5)
     truth = annotations.coco_to_truth(*annotations.read_coco(spark, str(tmp_path / "x.json")))

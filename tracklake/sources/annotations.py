@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,9 +52,11 @@ def coco_to_truth(categories: DataFrame, images: DataFrame, annotations: DataFra
     rows = annotations.join(known, "image_id").join(names, "category_id", "left")
     unknown = F.raise_error(F.concat(F.lit("unknown category "), F.coalesce(F.col("category_id").cast("string"), F.lit("null"))))
     rows = rows.where(F.when(F.col("class_name").isNull(), unknown.cast("boolean")).otherwise(F.lit(True)))
-    place = F.row_number().over(Window.partitionBy("camera_id", "frame").orderBy("ord")) - 1
+    # Places are taken by frame_index, so that what groups by camera and frame next finds its rows where they are.
+    rows = rows.withColumn("frame_index", F.col("frame") - F.col("first"))
+    place = F.row_number().over(Window.partitionBy("camera_id", "frame_index").orderBy("ord")) - 1
     return rows.select(
-        "camera_id", (F.col("frame") - F.col("first")).alias("frame_index"), place.cast("int").alias("det_ord"),
+        "camera_id", "frame_index", place.cast("int").alias("det_ord"),
         F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"),
         F.lit(1.0).alias("confidence"), F.col("category_id").alias("class_id"), "class_name", F.lit(None).cast("bigint").alias("track_id"),
     )
@@ -72,26 +77,45 @@ def dictionary_ids(rows: DataFrame, name: str, order: list[str], base: int = 1)
     return first.select("camera_id", name, (F.row_number().over(Window.partitionBy("camera_id").orderBy("first")) + (base - 1)).cast("bigint").alias("id"))
 
 
-def nested(rows: DataFrame, fps: float = 25.0, source: str = "ground_truth") -> DataFrame:
-    """A row a camera, as the JSON files hold it: frames sorted, detections in order."""
+def nested(rows: DataFrame) -> DataFrame:
+    """A row a frame, as the JSON files hold it: camera_id, frame_index, detections in order. A camera has any
+    number of frames, so it is a file (write_sequences), never a row."""
     box = F.struct("x1", "y1", "x2", "y2").alias("bbox")
     frames = rows.groupBy("camera_id", "frame_index").agg(F.sort_array(F.collect_list(F.struct("det_ord", box, "confidence", "class_id", "class_name", "track_id"))).alias("d"))
     plain = F.transform("d", lambda x: F.struct(x["bbox"].alias("bbox"), x["confidence"].alias("confidence"), x["class_id"].alias("class_id"), x["class_name"].alias("class_name"), x["track_id"].alias("track_id")))
-    out = frames.select("camera_id", F.struct("frame_index", plain.alias("detections")).alias("f")).groupBy("camera_id").agg(F.sort_array(F.collect_list("f")).alias("frames"))
-    return out.select(F.lit(source).alias("source"), "camera_id", F.lit(fps).alias("fps"), "frames").orderBy("camera_id")
+    return frames.select("camera_id", "frame_index", plain.alias("detections"))
+
+
+def sequence_text(rows: DataFrame, fps: float = 25.0, source: str = "ground_truth") -> DataFrame:
+    """The JSON document of each camera, a line a frame in order: camera_id, value. The first line opens it, the last closes it."""
+    w = Window.partitionBy("camera_id").orderBy("frame_index")
+    head = F.lit(f'{{"source":{json.dumps(source)},"fps":{json.dumps(fps)},"frames":[')
+    begin = F.when(F.row_number().over(w) == 1, head).otherwise(F.lit(","))
+    end = F.when(F.lead(F.lit(1)).over(w).isNull(), F.lit("]}")).otherwise(F.lit(""))
+    return nested(rows).select("camera_id", "frame_index", F.concat(begin, F.to_json(F.struct("frame_index", "detections")), end).alias("value")).sortWithinPartitions("camera_id", "frame_index").select("camera_id", "value")
 
 
 def write_sequences(rows: DataFrame, path: str, **options: object) -> list[str]:
-    """One folder a camera, of those that have none yet: what exists is left as it is. Returns the cameras written, sorted."""
+    """One folder a camera, of those that have none yet: what exists is left as it is. A camera's frames stream through
+    its task into one document. Returns the cameras written, sorted."""
     spark = rows.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top, writing = fs_path(path), fs_path(path, f"_writing-{uuid.uuid4().hex}")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     cameras = sorted(r["camera_id"] for r in rows.select("camera_id").distinct().collect())
-    there = {f.getPath().getName() for f in fs.listStatus(fs_path)} if fs.exists(fs_path) else set()
+    there = {f.getPath().getName() for f in fs.listStatus(top)} if fs.exists(top) else set()
     missing = [c for c in cameras if f"camera_id={c}" not in there]
     if missing:
         some = rows.where(F.col("camera_id").isin(missing))
-        nested(some, **options).repartition("camera_id").write.partitionBy("camera_id").mode("append").json(path)
+        sequence_text(some, **options).write.partitionBy("camera_id").option("maxRecordsPerFile", 0).text(writing.toString())
+        for folder in fs.listStatus(writing):
+            if not folder.isDirectory():
+                continue
+            for file in fs.listStatus(folder.getPath()):
+                name = file.getPath().getName()
+                fs.rename(file.getPath(), fs_path(folder.getPath(), name.replace(".txt", ".json")))
+            fs.rename(folder.getPath(), fs_path(top, folder.getPath().getName()))
+        fs.delete(writing, True)
     return missing
 
 
