@@ -9,8 +9,11 @@ camera: frames of one camera are inherently sequential, and stream through its t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -18,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import COORDS, EPSILON
-from .assignment import gated
+from .assignment import gated, sparse
 from .runs import spans, whole_runs
 
+KEY = ["camera_id", "frame_index", "det_ord"]
 #: Noise per unit of height, of positions and velocities; and the aspect's own.
 POSITION, VELOCITY = 1 / 20, 1 / 160
 
@@ -71,13 +75,64 @@ def measure(boxes: np.ndarray) -> np.ndarray:
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.clip(high - low, 0, None).prod(axis=2)
+    side = lambda k: np.maximum(np.minimum(a[:, None, k + 2], b[None, :, k + 2]) - np.maximum(a[:, None, k], b[None, :, k]), 0)
+    both = side(0) * side(1)
     area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     union = area(a)[:, None] + area(b)[None, :] - both + epsilon
     return np.divide(both, union, out=np.zeros_like(both), where=union != 0)
 
 
+@dataclass
+class Looks:
+    """The galleries of all tracks. A vector that many hold (an empty crop's, a class's) is kept once, and met once
+    by a detection; others cost a slot each."""
+
+    vectors: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    held: list[int] = field(default_factory=list)
+    free: list[int] = field(default_factory=list)
+    slots: dict[int, int] = field(default_factory=dict)
+
+    def add(self, features: np.ndarray) -> list[int]:
+        """A slot for each vector, held once more than before."""
+        out = []
+        if not self.held:
+            self.vectors = np.empty((0, features.shape[1]))
+        for f in np.ascontiguousarray(features):
+            key = crc32(f)
+            k = self.slots.get(key)
+            if k is None or not (self.vectors[k] == f).all():
+                if not self.free:
+                    n = len(self.held)
+                    self.vectors = np.concatenate([self.vectors, np.empty((max(64, n), features.shape[1]))])
+                    self.free = list(range(len(self.vectors) - 1, n - 1, -1))
+                    self.held += [0] * (len(self.vectors) - n)
+                slot = self.free.pop()
+                self.vectors[slot] = f
+                if k is None:
+                    self.slots[key] = slot
+                k = slot
+            self.held[k] += 1
+            out.append(k)
+        return out
+
+    def drop(self, slots: Iterable[int]) -> None:
+        for k in slots:
+            self.held[k] -= 1
+            if not self.held[k]:
+                key = crc32(self.vectors[k])
+                if self.slots.get(key) == k:
+                    del self.slots[key]
+                self.free.append(k)
+
+    def unlike(self, galleries: list[dict[int, int]], seen: list[int]) -> np.ndarray:
+        """Least cosine distance of each gallery (none is empty) to each of the slots seen."""
+        at = np.fromiter(chain.from_iterable(galleries), int)
+        (rows, row), (columns, column) = (np.unique(x, return_inverse=True) for x in (at, np.array(seen)))
+        near = self.vectors[rows] @ self.vectors[columns].T
+        begins = np.cumsum([0, *(len(g) for g in galleries[:-1])])
+        return 1.0 - np.maximum.reduceat(near[row], begins, axis=0)[:, column]
+
+
 @dataclass
 class Tracker:
     """max_appearance None: motion only. double_spawn: a detection matched to a tentative track
@@ -95,7 +150,9 @@ class Tracker:
     hits: list[int] = field(default_factory=list)
     stale: list[int] = field(default_factory=list)
     confirmed: list[bool] = field(default_factory=list)
-    gallery: list[list[np.ndarray]] = field(default_factory=list)
+    looks: Looks = field(default_factory=Looks)
+    gallery: list[deque[int]] = field(default_factory=list)
+    shown: list[dict[int, int]] = field(default_factory=list)
 
     def step(self, boxes: np.ndarray, features: np.ndarray | None = None) -> list[tuple[int, int]]:
         """One frame: (detection, track id) of its matches, confirmed tracks first."""
@@ -106,10 +163,11 @@ class Tracker:
         unsure = [k for k, c in enumerate(self.confirmed) if not c]
         far = 1.0 - iou_matrix(self.filter.boxes(), boxes)
         free = list(range(len(boxes)))
+        seen = None if features is None else self.looks.add(np.asarray(features, float)) if free else []
         if self.max_appearance is None:
             first = self._by_motion(far, sure, free)
         else:
-            first = self._by_appearance(far, sure, free, features)
+            first = self._by_appearance(far, sure, free, seen)
         free = self._left(free, first)
         second = self._by_motion(far, unsure, free)
         matches = first + second
@@ -121,13 +179,15 @@ class Tracker:
             self.hits[t] += 1
             self.stale[t] = 0
             self.confirmed[t] = self.confirmed[t] or self.hits[t] >= self.n_init
-            if features is not None:
-                self.gallery[t] = [*self.gallery[t], features[d]][-self.budget :]
+            if seen is not None:
+                self._show(t, seen[d])
         matched = {t for t, _ in matches}
         out = [(d, self.ids[t]) for t, d in matches]
         keep = [k for k in range(len(self.ids)) if k in matched or (self.confirmed[k] and self.stale[k] <= self.max_age)]
         new = free if self.double_spawn else self._left(free, second)
-        self._replace(keep, z[new], [features[d] for d in new] if features is not None else None)
+        self._replace(keep, z[new], [seen[d] for d in new] if seen is not None else None)
+        if seen is not None:
+            self.looks.drop(seen)
         return out
 
     @staticmethod
@@ -141,31 +201,62 @@ class Tracker:
         part = far[np.ix_(tracks, free)]
         return [(tracks[r], free[c]) for r, c in gated(part, part <= self.max_iou_distance, self.max_iou_distance)]
 
-    def _by_appearance(self, far: np.ndarray, tracks: list[int], free: list[int], features: np.ndarray) -> list[tuple[int, int]]:
-        """Tracks seen last come first: a level for each frame since."""
+    def _by_appearance(self, far: np.ndarray, tracks: list[int], free: list[int], seen: list[int]) -> list[tuple[int, int]]:
+        """Tracks seen last come first: a level for each frame since. The last frame's tracks meet all detections; the
+        older ones only what those leave, all levels' pairs at once, from which each level takes its own."""
         out: list[tuple[int, int]] = []
-        for age in sorted({self.stale[t] for t in tracks}):
-            level = [t for t in tracks if self.stale[t] == age]
-            if age > self.max_age or not free:
-                break
-            unlike = np.ones((len(level), len(free)))
-            for r, t in enumerate(level):
-                if self.gallery[t]:
-                    unlike[r] = 1.0 - (np.stack(self.gallery[t]) @ features[free].T).max(axis=0)
-            allowed = (far[np.ix_(level, free)] <= self.max_iou_distance) & (unlike <= self.max_appearance)
-            found = [(level[r], free[c]) for r, c in gated(unlike, allowed, self.max_appearance)]
-            out += found
-            free = self._left(free, found)
+        tracks = [t for t in tracks if self.shown[t] and self.stale[t] <= self.max_age]
+        youngest = min((self.stale[t] for t in tracks), default=0)
+        for some in ([t for t in tracks if self.stale[t] == youngest], [t for t in tracks if self.stale[t] != youngest]):
+            levels: dict[int, list[tuple[int, int, float]]] = {}
+            for t, d, cost in self._alike(far, some, free, seen):
+                levels.setdefault(self.stale[t], []).append((t, d, cost))
+            taken: set[int] = set()
+            for age in sorted(levels):
+                found = sparse([x for x in levels[age] if x[1] not in taken])
+                taken.update(d for _, d in found)
+                out += found
+            free = [d for d in free if d not in taken]
         return out
 
-    def _replace(self, keep: list[int], z: np.ndarray, features: list[np.ndarray] | None) -> None:
+    def _alike(self, far: np.ndarray, tracks: list[int], free: list[int], seen: list[int]) -> list[tuple[int, int, float]]:
+        """Pairs (track, detection, distance of their looks) within both limits."""
+        if not tracks or not free:
+            return []
+        close = far[np.ix_(tracks, free)] <= self.max_iou_distance
+        some = np.flatnonzero(close.any(axis=1))
+        if not len(some):
+            return []
+        unlike = self.looks.unlike([self.shown[tracks[k]] for k in some], [seen[d] for d in free])
+        r, c = np.nonzero(close[some] & (unlike <= self.max_appearance))
+        return [(tracks[k], free[d], cost) for k, d, cost in zip(some[r].tolist(), c.tolist(), unlike[r, c].tolist(), strict=True)]
+
+    def _show(self, t: int, slot: int) -> None:
+        """The slot joins a track's gallery, and what the budget leaves no place for goes."""
+        gallery, shown = self.gallery[t], self.shown[t]
+        gallery.append(slot)
+        self.looks.held[slot] += 1
+        shown[slot] = shown.get(slot, 0) + 1
+        if self.budget and len(gallery) > self.budget:
+            old = gallery.popleft()
+            shown[old] -= 1
+            if not shown[old]:
+                del shown[old]
+            self.looks.drop([old])
+
+    def _replace(self, keep: list[int], z: np.ndarray, slots: list[int] | None) -> None:
         self.filter.take(Kalman(z), np.array(keep, int))
         n = len(z)
+        for k in set(range(len(self.ids))).difference(keep):
+            self.looks.drop(self.gallery[k])
         self.ids = [self.ids[k] for k in keep] + list(range(self.next_id, self.next_id + n))
         self.hits = [self.hits[k] for k in keep] + [1] * n
         self.stale = [self.stale[k] for k in keep] + [0] * n
         self.confirmed = [self.confirmed[k] for k in keep] + [False] * n
-        self.gallery = [self.gallery[k] for k in keep] + ([[f] for f in features] if features is not None else [[] for _ in range(n)])
+        self.gallery = [self.gallery[k] for k in keep] + [deque() for _ in range(n)]
+        self.shown = [self.shown[k] for k in keep] + [{} for _ in range(n)]
+        for k, slot in enumerate(slots or [], len(keep)):
+            self._show(k, slot)
         self.next_id += n
 
 
@@ -201,26 +292,52 @@ def frame_rows(detections: DataFrame, frames: DataFrame, features: DataFrame | N
     """Detections of all frames, a row with nulls for a frame that has none. A detection without an
     embedding has that of an empty crop, all zeros: it is like nothing, and moves with its box alone."""
     if features is not None:
-        size = features.select(F.size("embedding").alias("n")).first()
-        zeros = F.array_repeat(F.lit(0.0).cast("float"), size["n"] if size else 1)
-        own = features.select("camera_id", "frame_index", "det_ord", F.col("embedding").cast("array<float>").alias("embedding"))
-        detections = detections.join(own, ["camera_id", "frame_index", "det_ord"], "left").withColumn("embedding", F.coalesce("embedding", zeros))
+        detections = _with_embedding(detections, features)
     return frames.select("camera_id", "frame_index").distinct().join(detections, ["camera_id", "frame_index"], "left")
 
 
+def _with_embedding(detections: DataFrame, features: DataFrame) -> DataFrame:
+    size = features.select(F.size("embedding").alias("n")).first()
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size["n"] if size else 1)
+    own = features.select(*KEY, F.col("embedding").cast("array<float>").alias("embedding"))
+    return detections.join(own, KEY, "left").withColumn("embedding", F.coalesce("embedding", zeros))
+
+
 def track(detections: DataFrame, frames: DataFrame, features: DataFrame | None = None, **options: object) -> DataFrame:
-    """Matched detections with their track_id; emit_ord is their order within the frame."""
+    """Matched detections with their track_id; emit_ord is their order within the frame. Features have an embedding by
+    camera_id, frame_index and det_ord; or they are a small table (an embedding of each class, say) by other columns
+    of the detections, which goes to each task as it is, so that no detection carries a copy through shuffle and sort.
+    Frames go along as rows without a detection, ahead of their detections; what is in no such frame is left out."""
     make = sort_tracker if features is None else deep_sort_tracker
-    columns = ["camera_id", "frame_index", "det_ord", *COORDS, "confidence", "class_id", "class_name", *(["embedding"] if features is not None else [])]
-    rows = frame_rows(detections, frames, features).select(*columns).repartition("camera_id").sortWithinPartitions("camera_id", "frame_index", "det_ord")
+    looks, by = None, []
+    if features is not None and set(KEY) <= set(features.columns):
+        detections = _with_embedding(detections, features)
+    elif features is not None:
+        by = [c for c in features.columns if c != "embedding"]
+        own = features.dropna().select(*(F.col(c).cast(detections.schema[c].dataType).alias(c) for c in by), "embedding")
+        looks = {r[0]: np.array(r[1], np.float32) for r in own.select(F.to_json(F.struct(*by)), "embedding").collect()}
+    columns = [*COORDS, "confidence", "class_id", "class_name", *(["embedding"] if features is not None and looks is None else [])]
+    carried = [F.to_json(F.struct(*by)).alias("_look")] if by else []
+    there = "camera_id IS NOT NULL AND frame_index IS NOT NULL"
+    found = detections.where(f"{there} AND det_ord IS NOT NULL").select(*KEY, *columns, *carried)
+    listed = frames.where(there).select("camera_id", "frame_index").distinct()
+    # By range and of a fixed number: two of a few cameras often share a hash's partition, and small partitions are joined; both would wait for each other.
+    n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = found.unionByName(listed, allowMissingColumns=True).repartitionByRange(n, "camera_id").sortWithinPartitions(*KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, tracker = None, None
+        zeros = np.zeros(len(next(iter(looks.values()))) if looks else 1, np.float32)
         for pdf in whole_runs(batches, "camera_id", "frame_index"):
+            if looks is not None:
+                pdf["embedding"] = [looks.get(x, zeros) for x in pdf.pop("_look")]
             for lo, hi in spans(pdf.camera_id.to_numpy()):
                 if pdf.camera_id.iloc[lo] != now:
                     now, tracker = pdf.camera_id.iloc[lo], make(**options)
-                yield advance(tracker, pdf.iloc[lo:hi])
+                some = pdf.iloc[lo:hi]
+                if some.det_ord.isna().sum() < some.frame_index.nunique():
+                    some = some[some.det_ord.isna().groupby(some.frame_index).transform("any")]
+                yield advance(tracker, some)
 
     return rows.mapInPandas(run, RESULT)
 
