@@ -95,7 +95,7 @@ class PlainCascade(trackers.Tracker):
             if age > self.max_age or not free:
                 break
             unlike = np.array([(1.0 - np.stack(self.own[self.ids[t]]) @ self.now[free].T).min(axis=0) for t in level])
-            allowed = (far[np.ix_(level, free)] <= self.max_iou_distance) & (unlike <= self.max_appearance)
+            allowed = (far(level, free) <= self.max_iou_distance) & (unlike <= self.max_appearance)
             found = [(level[r], free[c]) for r, c in gated(unlike, allowed, self.max_appearance)]
             out += found
             free = self._left(free, found)

@@ -10,7 +10,7 @@ camera: frames of one camera are inherently sequential, and stream through its t
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 from zlib import crc32
@@ -94,24 +94,32 @@ class Looks:
 
     def add(self, features: np.ndarray) -> list[int]:
         """A slot for each vector, held once more than before."""
-        out = []
         if not self.held:
             self.vectors = np.empty((0, features.shape[1]))
-        for f in np.ascontiguousarray(features):
-            key = crc32(f)
+        text, width = features.tobytes(), features.shape[1] * features.itemsize
+        out, now = [], {}
+        for n, f in enumerate(features):
+            own = text[n * width : (n + 1) * width]
+            k = now.get(own)
+            if k is not None:
+                self.held[k] += 1
+                out.append(k)
+                continue
+            key = crc32(own)
             k = self.slots.get(key)
-            if k is None or not (self.vectors[k] == f).all():
+            if k is None or self.vectors[k].tobytes() != own:
                 if not self.free:
-                    n = len(self.held)
-                    self.vectors = np.concatenate([self.vectors, np.empty((max(64, n), features.shape[1]))])
-                    self.free = list(range(len(self.vectors) - 1, n - 1, -1))
-                    self.held += [0] * (len(self.vectors) - n)
+                    size = len(self.held)
+                    self.vectors = np.concatenate([self.vectors, np.empty((max(64, size), features.shape[1]))])
+                    self.free = list(range(len(self.vectors) - 1, size - 1, -1))
+                    self.held += [0] * (len(self.vectors) - size)
                 slot = self.free.pop()
                 self.vectors[slot] = f
                 if k is None:
                     self.slots[key] = slot
                 k = slot
             self.held[k] += 1
+            now[own] = k
             out.append(k)
         return out
 
@@ -133,6 +141,10 @@ class Looks:
         return 1.0 - np.maximum.reduceat(near[row], begins, axis=0)[:, column]
 
 
+#: Distances of some tracks' predicted boxes to some detections: only what is asked for is computed.
+Far = Callable[[list[int], list[int]], np.ndarray]
+
+
 @dataclass
 class Tracker:
     """max_appearance None: motion only. double_spawn: a detection matched to a tentative track
@@ -161,7 +173,8 @@ class Tracker:
         self.stale = [s + 1 for s in self.stale]
         sure = [k for k, c in enumerate(self.confirmed) if c]
         unsure = [k for k, c in enumerate(self.confirmed) if not c]
-        far = 1.0 - iou_matrix(self.filter.boxes(), boxes)
+        predicted = self.filter.boxes()
+        far = lambda t, d: 1.0 - iou_matrix(predicted[t], boxes[d])
         free = list(range(len(boxes)))
         seen = None if features is None else self.looks.add(np.asarray(features, float)) if free else []
         if self.max_appearance is None:
@@ -195,41 +208,45 @@ class Tracker:
         taken = {d for _, d in matches}
         return [d for d in free if d not in taken]
 
-    def _by_motion(self, far: np.ndarray, tracks: list[int], free: list[int]) -> list[tuple[int, int]]:
+    def _by_motion(self, far: Far, tracks: list[int], free: list[int]) -> list[tuple[int, int]]:
         if not tracks or not free:
             return []
-        part = far[np.ix_(tracks, free)]
+        part = far(tracks, free)
         return [(tracks[r], free[c]) for r, c in gated(part, part <= self.max_iou_distance, self.max_iou_distance)]
 
-    def _by_appearance(self, far: np.ndarray, tracks: list[int], free: list[int], seen: list[int]) -> list[tuple[int, int]]:
+    def _by_appearance(self, far: Far, tracks: list[int], free: list[int], seen: list[int]) -> list[tuple[int, int]]:
         """Tracks seen last come first: a level for each frame since. The last frame's tracks meet all detections; the
         older ones only what those leave, all levels' pairs at once, from which each level takes its own."""
         out: list[tuple[int, int]] = []
-        tracks = [t for t in tracks if self.shown[t] and self.stale[t] <= self.max_age]
-        youngest = min((self.stale[t] for t in tracks), default=0)
-        for some in ([t for t in tracks if self.stale[t] == youngest], [t for t in tracks if self.stale[t] != youngest]):
-            levels: dict[int, list[tuple[int, int, float]]] = {}
-            for t, d, cost in self._alike(far, some, free, seen):
-                levels.setdefault(self.stale[t], []).append((t, d, cost))
+        stale = self.stale
+        tracks = [t for t in tracks if self.shown[t] and stale[t] <= self.max_age]
+        youngest = min((stale[t] for t in tracks), default=0)
+        for some in ([t for t in tracks if stale[t] == youngest], [t for t in tracks if stale[t] != youngest]):
+            pairs = self._alike(far, some, free, seen)
+            levels: dict[int, list[tuple[int, int, float]]] = {youngest: pairs}
+            if some and stale[some[0]] != youngest:
+                levels = {}
+                for pair in pairs:
+                    levels.setdefault(stale[pair[0]], []).append(pair)
             taken: set[int] = set()
             for age in sorted(levels):
-                found = sparse([x for x in levels[age] if x[1] not in taken])
+                found = sparse([x for x in levels[age] if x[1] not in taken] if taken else levels[age])
                 taken.update(d for _, d in found)
                 out += found
             free = [d for d in free if d not in taken]
         return out
 
-    def _alike(self, far: np.ndarray, tracks: list[int], free: list[int], seen: list[int]) -> list[tuple[int, int, float]]:
+    def _alike(self, far: Far, tracks: list[int], free: list[int], seen: list[int]) -> list[tuple[int, int, float]]:
         """Pairs (track, detection, distance of their looks) within both limits."""
         if not tracks or not free:
             return []
-        close = far[np.ix_(tracks, free)] <= self.max_iou_distance
+        close = far(tracks, free) <= self.max_iou_distance
         some = np.flatnonzero(close.any(axis=1))
         if not len(some):
             return []
         unlike = self.looks.unlike([self.shown[tracks[k]] for k in some], [seen[d] for d in free])
         r, c = np.nonzero(close[some] & (unlike <= self.max_appearance))
-        return [(tracks[k], free[d], cost) for k, d, cost in zip(some[r].tolist(), c.tolist(), unlike[r, c].tolist(), strict=True)]
+        return list(zip(np.array(tracks)[some[r]].tolist(), np.array(free)[c].tolist(), unlike[r, c].tolist(), strict=True))
 
     def _show(self, t: int, slot: int) -> None:
         """The slot joins a track's gallery, and what the budget leaves no place for goes."""
